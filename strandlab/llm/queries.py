@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm import mixing, oracles, quality_rules
+from strandlab.llm import decontaminate, mixing, oracles, quality_rules
 from strandlab.llm.common import table
 
 
@@ -14,12 +14,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.document_shares(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 QUERIES = {
+    "op6_decontaminate": op6_decontaminate,
     "op10_source_mix": op10_source_mix,
     "op5_quality_rules": op5_quality_rules,
 }
