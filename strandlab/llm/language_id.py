@@ -100,13 +100,13 @@ def fit(docs: DataFrame, max_docs: int = 4000, max_words: int = 50_000, max_gram
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Per document: doc_id, lang_pred, score (the winner's share of tempered likelihood)."""
+    """Per row: doc_id, lang_pred, score (the winner's share of tempered likelihood)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
-        for pdf in frames:
-            out = [shared.value.predict(t, cache) for t in pdf.text]
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "lang_pred": [x for x, _ in out], "score": [s for _, s in out]})
+        for batch in texts:
+            yield pd.DataFrame([shared.value.predict(t, cache) for t in batch], columns=["lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", predict("text").alias("found")).select("doc_id", "found.lang_pred", "found.score")

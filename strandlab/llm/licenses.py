@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # The phrases of the contract and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -170,21 +171,20 @@ class Scanner:
         return sorted(spans, key=lambda s: (s[1], s[2], s[0]))
 
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:long,end_word:long,covered:double>>"
+FIELDS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:long,end_word:long,covered:double>>"
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """Per document: the measures of ``Scanner.scan``."""
+    """Per row: doc_id and the measures of ``Scanner.scan``."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(SCHEMA)
+    def scan(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scanner = Scanner()
-        for pdf in frames:
-            rows = [scanner.scan(t) for t in pdf.text]
-            out = pd.DataFrame(rows, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
+        for batch in texts:
+            rows = [scanner.scan(t) for t in batch]
+            out = pd.DataFrame(rows, columns=FIELDS).astype({"first_word": "Int64", "last_word": "Int64"})
             out["spans"] = [[dict(zip(("label", "first_word", "end_word", "covered"), s, strict=True)) for s in r["spans"]] for r in rows]
-            for c in ("first_word", "last_word"):
-                out[c] = out[c].astype("Int64")
-            out.insert(0, "doc_id", pdf.doc_id.to_numpy())
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return docs.select("doc_id", scan("text").alias("found")).select("doc_id", "found.*")

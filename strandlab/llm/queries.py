@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm import decontaminate, language_id, licenses, mixing, oracles, quality_rules
+from strandlab.llm import decontaminate, language_id, licenses, mixing, oracles, quality_crf, quality_rules
 from strandlab.llm.common import table
 
 
@@ -16,6 +16,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.held_out(F.col("doc_id"), 5, 0)
+    model = quality_crf.fit(docs.where(~out), table(spark, sf_dir, "labels"))
+    found = docs.select("doc_id", quality_crf.score_column(docs, model).alias("score"))
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.clean_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -38,6 +46,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_quality_crf": op3_quality_crf,
     "op9_license_scan": op9_license_scan,
     "op6_decontaminate": op6_decontaminate,
     "op10_source_mix": op10_source_mix,
