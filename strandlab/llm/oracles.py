@@ -50,7 +50,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+OP4 = r"""
+WITH p AS (
+  SELECT page_id, url, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*?)\.?(?::[0-9]*)?(?:[/?#]|$)', 1)) AS h,
+    TIMESTAMP '2024-01-01' + to_seconds(('0x' || substr(md5(page_id::VARCHAR), 1, 7))::BIGINT % (366 * 86400)) AS fetched FROM pages),
+d AS (SELECT DISTINCT regexp_extract(h, '([^.]+\.[^.]+\.[^.]+)$', 1) AS pattern FROM p),
+l AS (
+  SELECT pattern, ['adult', 'malware', 'spam'][('0x' || substr(md5(pattern), 2, 2))::BIGINT % 3 + 1] AS list,
+    TIMESTAMP '2024-01-01' + to_days((('0x' || substr(md5(pattern), 4, 3))::BIGINT % 366)::INT) AS a,
+    to_days((('0x' || substr(md5(pattern), 7, 2))::BIGINT % 120 + 10)::INT) AS span, ('0x' || substr(md5(pattern), 9, 1))::BIGINT % 2 = 0 AS again
+  FROM d WHERE pattern <> '' AND ('0x' || substr(md5(pattern), 1, 1))::BIGINT < 8),
+iv AS (SELECT pattern, list, a AS f, a + span AS t FROM l UNION ALL SELECT pattern, list, a + span + to_days(7), NULL FROM l WHERE again),
+m AS (SELECT p.page_id, list, pattern, f FROM p JOIN iv ON (h = pattern OR ends_with(h, '.' || pattern)) AND f <= fetched AND (t IS NULL OR t > fetched))
+SELECT page_id, coalesce(string_agg(DISTINCT list, ',' ORDER BY list), '') AS lists, count(list)::BIGINT AS n_entries, count(list) > 0 AS blocked
+FROM (SELECT DISTINCT page_id FROM p) LEFT JOIN m USING (page_id) GROUP BY page_id
+"""
+
 ORACLES = {
+    "op4_url_filters": OP4,
     "op6_decontaminate": OP6,
     "op5_quality_rules": OP5,
 }

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm import decontaminate, language_id, licenses, mixing, oracles, quality_crf, quality_rules
-from strandlab.llm.common import table
+from strandlab.llm import decontaminate, language_id, licenses, mixing, oracles, quality_crf, quality_rules, url_filters, warc
+from strandlab.llm.common import new_path, table
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +30,12 @@ def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    out = url_filters.match(url_filters.captures_of(pages), url_filters.dated_lists(pages))
+    return out.withColumnRenamed("id", "page_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.clean_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -45,8 +57,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
     "op3_quality_crf": op3_quality_crf,
+    "op4_url_filters": op4_url_filters,
     "op9_license_scan": op9_license_scan,
     "op6_decontaminate": op6_decontaminate,
     "op10_source_mix": op10_source_mix,
