@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm import decontaminate, language_id, licenses, mixing, oracles, quality_crf, quality_rules, url_filters, warc
+from strandlab.llm import decontaminate, language_id, licenses, line_dedup, mixing, ngram_join, oracles, quality_crf, quality_rules, url_filters, warc
 from strandlab.llm.common import new_path, table
 
 
@@ -46,6 +46,15 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_lines_dropped")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -61,6 +70,8 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_quality_crf": op3_quality_crf,
     "op4_url_filters": op4_url_filters,
+    "op7_ngram_join": op7_ngram_join,
+    "op8_line_dedup": op8_line_dedup,
     "op9_license_scan": op9_license_scan,
     "op6_decontaminate": op6_decontaminate,
     "op10_source_mix": op10_source_mix,
