@@ -81,18 +81,16 @@ def connect(
         several = df.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), *(F.min_by(c, first).alias(c) for c in ("id", "label", *features)))
         return several.where("low != high").select("key", "id", "label", *features)
 
-    def test(pairs: DataFrame) -> int:
+    def test(pairs: DataFrame) -> None:
         nonlocal labels, checked
         pairs = stage(pairs, "pairs")
         if not pairs.limit(1).count():
-            return 0
+            return
         found = stage(verify(pairs), "links")
         checked = pairs if checked is None else checked.union(pairs)
-        if not found.limit(1).count():
-            return 0
-        links.append(found)
-        labels = relabel(labels, found)
-        return 1
+        if found.limit(1).count():
+            links.append(found)
+            labels = relabel(labels, found)
 
     for turn in range(rounds + 1):
         last = turn == rounds
@@ -105,14 +103,10 @@ def connect(
         side = lambda p, q: [F.when(swap, F.col(f"{q}_{c}")).otherwise(F.col(f"{p}_{c}")).alias(f"{n}_{c}") for c in features for n in ({"x": "a", "y": "b"}[p],)]
         pairs = pairs.select("key", F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), *side("x", "y"), *side("y", "x"))
         pairs = may_link(pairs.distinct() if last else pairs)
-        if not last:
-            best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
-            pairs = best
-        pairs = pairs.select("a", "b")
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        more = test(pairs)
+        if not last:
+            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+        test(pairs.select("a", "b"))
         drop_staged(df, heads)
-        if not more and not last and turn:
-            continue
     return labels, links

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from strandlab.llm.common import count_words, stage
 
-BLOCK, WEIGHTS, MAX_REPEAT, DOCS_PER_BUCKET, SHARD_WORDS, SEED = 64, (1, 2, 3), 3.0, 20_000, 1 << 22, 17
+BLOCK, WEIGHTS, MAX_REPEAT, DOCS_PER_BUCKET, SHARD_WORDS, SEED = 64, (1, 2, 3), 3.0, 2_000, 1 << 22, 17
 
 
 def null_safe(name: str) -> Column:

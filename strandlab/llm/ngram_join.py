@@ -175,8 +175,8 @@ def join_similar(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFr
     inside = heads.select("doc_id", "size", "prefix_key").join(several, ["size", "prefix_key"]).select(F.col("gid"), F.col("doc_id").alias("id"), "size")
     inside = stage(inside, "inside")
     expanded = tokens.join(inside.select("gid", "id"), "gid", "left").select("key", F.coalesce("id", "gid").alias("id"), "size", "at")
-    # members of a group meet through a bucket of their own, at a position that passes every filter
-    members = stage(expanded.union(inside.select(F.xxhash64("gid", F.lit(9)), "id", "size", F.lit(0))), "buckets")
+    # members of a group meet through a bucket of their own, at place -1, which passes every filter
+    members = stage(expanded.union(inside.select(F.xxhash64("gid", F.lit(9)), "id", "size", F.lit(-1))), "buckets")
 
     need = lambda x, y: F.ceil((F.col(f"{x}size") + F.col(f"{y}size")) * percent / (100 + percent) - 1e-9)
     ahead = lambda p, at: F.col(f"{p}size") - F.col(at) - 1
@@ -186,8 +186,8 @@ def join_similar(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFr
         return fits & (F.least(f"{x}at", f"{y}at") + 1 + F.least(ahead(x, f"{x}at"), ahead(y, f"{y}at")) >= need(x, y))
 
     def may_link(pairs: DataFrame) -> DataFrame:
-        out = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("a_at").alias("a_last"), F.max("b_at").alias("b_last"), F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size"))
-        return out.where(F.col("shared") + F.least(ahead("a_", "a_last"), ahead("b_", "b_last")) >= need("a_", "b_"))
+        out = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("a_at").alias("a_last"), F.max("b_at").alias("b_last"), F.min("a_at").alias("least"), F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size"))
+        return out.where((F.col("least") < 0) | (F.col("shared") + F.least(ahead("a_", "a_last"), ahead("b_", "b_last")) >= need("a_", "b_")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
