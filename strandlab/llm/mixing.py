@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlab.llm.common import count_words, stage
+from strandlab.llm.common import count_words, let, stage, words_of
 
 BLOCK, WEIGHTS, MAX_REPEAT, DOCS_PER_BUCKET, SHARD_WORDS, SEED = 64, (1, 2, 3), 3.0, 2_000, 1 << 22, 17
 
@@ -182,7 +182,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS) ->
     parts = placed.where("size > 0").select("doc_id", "source", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block_id"))
     lo, hi = F.greatest(F.col("start"), F.col("block_id") * block), F.least(F.col("start") + F.col("size"), (F.col("block_id") + 1) * block)
     parts = parts.select("doc_id", F.xxhash64(null_safe("source"), F.lit(SEED)).alias("source_key"), "block_id", (lo - F.col("block_id") * block).alias("offset"), (lo - F.col("start")).alias("first_word"), (hi - lo).alias("length"))
-    pieces = slots.join(parts, ["source_key", "block_id"]).select("shard", "slot", "source", "block_id", "doc_id", "first_word", F.least("length", F.col("words") - F.col("offset")).alias("n_words")).where("n_words > 0")
+    # a plan's size doesn't tell how many slots it makes, so Spark mustn't take them for a small table
+    pieces = slots.hint("merge").join(parts, ["source_key", "block_id"]).select("shard", "slot", "source", "block_id", "doc_id", "first_word", F.least("length", F.col("words") - F.col("offset")).alias("n_words")).where("n_words > 0")
     return placed, plan, pieces
 
 
@@ -195,3 +196,16 @@ def document_shares(docs: DataFrame) -> DataFrame:
     out = per_doc.join(taken.withColumnRenamed("doc_id", "d2").withColumnRenamed("source", "s3"), (F.col("doc_id") == F.col("d2")) & F.col("source").eqNullSafe(F.col("s3")), "left")
     out = out.join(plan, F.col("source").eqNullSafe(F.col("s2")))
     return out.select("doc_id", "source", "size", "source_size", F.col("target").cast("double"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_text(docs: DataFrame) -> DataFrame:
+    """The mix with its words: rows (shard, slot, source, block_id, doc_id, first_word, n_words, text).
+
+    A document's pieces are gathered first, at most three times its length in all, so that its text is split once.
+    """
+    _, _, pieces = mix(docs)
+    fields = ["shard", "slot", "source", "block_id", "first_word", "n_words"]
+    per_doc = pieces.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("pieces"))
+    words = docs.select("doc_id", words_of(F.col("text")).alias("words")).join(per_doc, "doc_id")
+    cut = let(F.col("words"), lambda w: F.transform("pieces", lambda p: F.struct(*(p[c].alias(c) for c in fields), F.array_join(F.slice(w, p["first_word"].cast("int") + 1, p["n_words"].cast("int")), " ").alias("text"))))
+    return words.select("doc_id", F.explode(cut).alias("p")).select("p.shard", "p.slot", "p.source", "p.block_id", "doc_id", "p.first_word", "p.n_words", "p.text")

@@ -89,7 +89,7 @@ def shingle_sets(texts: list[str | None], n: int = 4, chunk: int = 1 << 20) -> I
             if c >= n:
                 yield np.unique(rolled[first : first + c - n + 1])
             elif c:
-                short = np.uint64(c) * np.uint64(0xD6E8FEB86659FD93)
+                short = np.uint64(c * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
                 with np.errstate(over="ignore"):
                     for h in hashes[first : first + c]:
                         short = mix(np.array([short + h + np.uint64(77)], np.uint64))[0]
