@@ -57,7 +57,7 @@ def connect(
     promising: Callable[[str, str], Column],
     may_link: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame], DataFrame],
-    rounds: int = 3,
+    rounds: int = 1,
 ) -> tuple[DataFrame | None, list[DataFrame]]:
     """(labels or None, links found) over ``members`` (key, id, *features).
 
@@ -78,8 +78,8 @@ def connect(
 
     def leaders(df: DataFrame, turn: int) -> DataFrame:
         first = F.col("id") if not turn else F.xxhash64("id", F.lit(turn))
-        several = df.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), *(F.min_by(c, first).alias(c) for c in ("id", "label", *features)))
-        return several.where("low != high").select("key", "id", "label", *features)
+        several = df.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("id", "label", *features), first).alias("head"))
+        return several.where("low != high").select("key", "head.*")
 
     def test(pairs: DataFrame) -> None:
         nonlocal labels, checked

@@ -4,7 +4,9 @@ A document's set are the 64-bit hashes of its distinct word n-grams. Tokens are
 that few documents have, then those whose frequency isn't counted, then frequent ones; in a class by hash. Any fixed
 order gives an exact prefix filter; this one keeps passages that many documents share out of the prefixes.
 Documents of identical sets collapse into one, documents with identical prefixes and size into one group; groups
-that share a prefix token are filtered by size and position, expanded to members and verified on whole sets.
+that share a prefix token are filtered by size, position and parity bitmap, expanded to members and verified on whole
+sets. A bitmap has the parity of the number of tokens per cell; two differ in at most as many bits as the sets differ
+in tokens, so the filter loses no link.
 
 Frequencies are counted over all documents, for the quarter of all tokens with the least hashes: prefixes come from
 there unless most of a document is frequent. The list of frequent tokens is broadcast; its length is checked, and
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from strandlab.llm import linking
 from strandlab.llm.common import fresh_key, stage
 
-FREQUENT, MAX_FREQUENT, LOW = 8, 2_000_000, np.uint64(1 << 62)
+FREQUENT, MAX_FREQUENT, LOW, CELLS, MAX_BROADCAST_IDS = 8, 2_000_000, np.uint64(1 << 62), 512, 2_000_000
+BITS = [f"b{k}" for k in range(CELLS // 64)]
 _rng = np.random.default_rng(20240101)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
@@ -121,13 +124,13 @@ def frequent_tokens(docs: DataFrame, n: int, least: int = FREQUENT, limit: int =
 
 
 def sketches(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(doc_id, size, set_a, set_b, prefix_key, prefix): two hashes of the whole set, one of the ordered prefix, and the prefix."""
+    """(doc_id, size, set_a, set_b, prefix_key, prefix, bits): two hashes of the whole set, one of the ordered prefix, the prefix, the bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            rows = []
+            rows, bits = [], []
             for s in shingle_sets(batch.column(1).to_pylist(), n):
                 low = np.searchsorted(s, LOW)
                 is_often = np.zeros(low, bool)
@@ -136,12 +139,17 @@ def sketches(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> Dat
                     is_often = often[where] == s[:low]
                 order = np.concatenate([s[:low][~is_often], s[low:], s[:low][is_often]])[: prefix_size(len(s), percent) if len(s) else 0]
                 mixed = mix(s + np.uint64(1))
+                odd = np.bincount((mixed & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 rows.append((len(s), mixed.sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed, initial=np.uint64(0)), mix(order * np.uint64(3) + np.uint64(5)).sum(dtype=np.uint64), order.view(np.int64)))
             ints = [pa.array(np.array([r[k] for r in rows], np.uint64).view(np.int64)) for k in range(4)]
             lists = pa.array([r[4] for r in rows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *ints, lists], ["doc_id", "size", "set_a", "set_b", "prefix_key", "prefix"])
+            words = np.array(bits, np.int64).reshape(-1, len(BITS))
+            parity = [pa.array(np.ascontiguousarray(words[:, k])) for k in range(len(BITS))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *ints, lists, *parity], ["doc_id", "size", "set_a", "set_b", "prefix_key", "prefix", *BITS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, set_a long, set_b long, prefix_key long, prefix array<long>")
+    schema = "doc_id long, size long, set_a long, set_b long, prefix_key long, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -152,8 +160,10 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
-    chosen = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.mapInArrow(run, "id long, set binary")
+    ids = stage(ids.select(F.col("id").alias("doc_id")), "ids")
+    ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+    chosen = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    return chosen.mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
 
 
 def join_similar(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
@@ -172,18 +182,21 @@ def join_similar(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFr
     shared = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     tokens = tokens.join(shared, "key")
     several = groups.where("n > 1").select("size", "prefix_key", "gid")
-    inside = heads.select("doc_id", "size", "prefix_key").join(several, ["size", "prefix_key"]).select(F.col("gid"), F.col("doc_id").alias("id"), "size")
+    inside = heads.select("doc_id", "size", "prefix_key").join(several, ["size", "prefix_key"]).select("gid", F.col("doc_id").alias("id"), "size")
     inside = stage(inside, "inside")
     expanded = tokens.join(inside.select("gid", "id"), "gid", "left").select("key", F.coalesce("id", "gid").alias("id"), "size", "at")
     # members of a group meet through a bucket of their own, at place -1, which passes every filter
-    members = stage(expanded.union(inside.select(F.xxhash64("gid", F.lit(9)), "id", "size", F.lit(-1))), "buckets")
+    expanded = expanded.union(inside.select(F.xxhash64("gid", F.lit(9)), "id", "size", F.lit(-1)))
+    members = stage(expanded.join(heads.select(F.col("doc_id").alias("id"), *BITS), "id"), "buckets")
 
     need = lambda x, y: F.ceil((F.col(f"{x}size") + F.col(f"{y}size")) * percent / (100 + percent) - 1e-9)
     ahead = lambda p, at: F.col(f"{p}size") - F.col(at) - 1
 
     def promising(x: str, y: str) -> Column:
         fits = (100 * F.least(f"{x}size", f"{y}size")) >= percent * F.greatest(f"{x}size", f"{y}size")
-        return fits & (F.least(f"{x}at", f"{y}at") + 1 + F.least(ahead(x, f"{x}at"), ahead(y, f"{y}at")) >= need(x, y))
+        apart = sum((F.bit_count(F.col(x + b).bitwiseXOR(F.col(y + b))) for b in BITS[1:]), F.bit_count(F.col(x + BITS[0]).bitwiseXOR(F.col(y + BITS[0]))))
+        alike = 2 * need(x, y) <= F.col(f"{x}size") + F.col(f"{y}size") - apart
+        return fits & alike & (F.least(f"{x}at", f"{y}at") + 1 + F.least(ahead(x, f"{x}at"), ahead(y, f"{y}at")) >= need(x, y))
 
     def may_link(pairs: DataFrame) -> DataFrame:
         out = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("a_at").alias("a_last"), F.max("b_at").alias("b_last"), F.min("a_at").alias("least"), F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size"))
@@ -206,7 +219,7 @@ def join_similar(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFr
 
         return two.where(link("set_a", "set_b")).select("a", "b")
 
-    labels, links = linking.connect(members, ["size", "at"], promising, may_link, verify)
+    labels, links = linking.connect(members, ["size", "at", *BITS], promising, may_link, verify)
     return classes, labels, links
 
 
