@@ -94,7 +94,7 @@ def connect(
 
     for turn in range(rounds + 1):
         last = turn == rounds
-        df = stage(labelled(), "members")
+        df = stage(labelled(), "members") if labels is not None else labelled()
         heads = stage(leaders(df, turn), "leaders")
         # the last turn compares everything outside its leader's component with all members of the bucket
         x = fresh(df.join(heads.select("key", F.col("label").alias("of")), "key").where("label != of").drop("of") if last else heads, "x")
@@ -107,6 +107,7 @@ def connect(
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         if not last:
             pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+        plain = labels is None
         test(pairs.select("a", "b"))
-        drop_staged(df, heads)
+        drop_staged(heads, *([] if plain else [df]))
     return labels, links

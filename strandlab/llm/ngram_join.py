@@ -8,7 +8,7 @@ that share a prefix token are filtered by size, position and parity bitmap, expa
 sets. A bitmap has the parity of the number of tokens per cell; two differ in at most as many bits as the sets differ
 in tokens, so the filter loses no link.
 
-Frequencies are counted over all documents, for the quarter of all tokens with the least hashes: prefixes come from
+Frequencies are counted over all documents, for the 3/16 of all tokens with the least hashes: prefixes come from
 there unless most of a document is frequent. The list of frequent tokens is broadcast; its length is checked, and
 the threshold doubles until it is at most ``MAX_FREQUENT``. That changes the order, hence the work, never the result.
 
@@ -28,9 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.llm import linking
-from strandlab.llm.common import fresh_key, stage
+from strandlab.llm.common import drop_staged, fresh_key, stage
 
-FREQUENT, MAX_FREQUENT, LOW, CELLS, MAX_BROADCAST_IDS = 8, 2_000_000, np.uint64(1 << 62), 512, 2_000_000
+FREQUENT, MAX_FREQUENT, LOW, CELLS, MAX_BROADCAST_IDS = 8, 2_000_000, np.uint64(3 << 60), 512, 2_000_000
 BITS = [f"b{k}" for k in range(CELLS // 64)]
 _rng = np.random.default_rng(20240101)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,7 +108,7 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def frequent_tokens(docs: DataFrame, n: int, least: int = FREQUENT, limit: int = MAX_FREQUENT) -> np.ndarray:
-    """Tokens of the counted quarter that at least ``least`` documents have; ``least`` doubles until ``limit`` suffices."""
+    """Tokens of the counted range that at least ``least`` documents have; ``least`` doubles until ``limit`` suffices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,18 +176,20 @@ def join_similar(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFr
     keyed = drawn.select("doc_id", "size", fresh_key(same).alias("key"))
     classes = stage(keyed.join(reps.select(fresh_key(same).alias("key"), "rep"), "key", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")), "classes")
     heads = stage(drawn.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "heads")
+    drop_staged(drawn)
     # groups of reps with the same prefix and size; only one of a group's prefixes is dealt out by token
     groups = stage(heads.groupBy("size", "prefix_key").agg(F.min("doc_id").alias("gid"), F.count(F.lit(1)).alias("n")), "groups")
-    tokens = heads.join(groups.select(F.col("gid").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("gid"), "size", F.posexplode("prefix").alias("at", "key"))
+    tokens = heads.join(groups.select(F.col("gid").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("gid"), F.posexplode("prefix").alias("at", "key"))
     shared = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     tokens = tokens.join(shared, "key")
     several = groups.where("n > 1").select("size", "prefix_key", "gid")
-    inside = heads.select("doc_id", "size", "prefix_key").join(several, ["size", "prefix_key"]).select("gid", F.col("doc_id").alias("id"), "size")
-    inside = stage(inside, "inside")
-    expanded = tokens.join(inside.select("gid", "id"), "gid", "left").select("key", F.coalesce("id", "gid").alias("id"), "size", "at")
+    inside = heads.select("doc_id", "size", "prefix_key").join(several, ["size", "prefix_key"])
+    inside = stage(inside.select("gid", F.col("doc_id").alias("id")), "inside")
+    expanded = tokens.join(inside, "gid", "left").select("key", F.coalesce("id", "gid").alias("id"), "at")
     # members of a group meet through a bucket of their own, at place -1, which passes every filter
-    expanded = expanded.union(inside.select(F.xxhash64("gid", F.lit(9)), "id", "size", F.lit(-1)))
-    members = stage(expanded.join(heads.select(F.col("doc_id").alias("id"), *BITS), "id"), "buckets")
+    expanded = expanded.union(inside.select(F.xxhash64("gid", F.lit(9)), "id", F.lit(-1)))
+    members = stage(expanded.join(heads.select(F.col("doc_id").alias("id"), "size", *BITS), "id"), "buckets")
+    drop_staged(heads)
 
     need = lambda x, y: F.ceil((F.col(f"{x}size") + F.col(f"{y}size")) * percent / (100 + percent) - 1e-9)
     ahead = lambda p, at: F.col(f"{p}size") - F.col(at) - 1
