@@ -139,12 +139,14 @@ class Crf:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000) -> Crf:
-    """Learn from at most ``max_docs`` labelled rows: up to half from each class, those with the least hash."""
-    rows = docs.select("doc_id", "text").join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id")
-    rows = rows.select("text", "quality", F.xxhash64("doc_id", F.lit(3)).alias("h"))
-    half = max_docs // 2
-    least = [rows.where(F.col("quality") == y).orderBy("h").limit(half) for y in (0, 1)]
-    return Crf([(r.text, r.quality) for part in least for r in part.collect()])
+    """Learn from at most ``max_docs`` labelled documents: up to half from each class, those with the least id hash.
+
+    The ids are chosen among the labels alone, so that only chosen texts move; there are at most ``max_docs`` to broadcast.
+    """
+    some = labels.where("quality in (0, 1)").select("doc_id", "quality", F.xxhash64("doc_id", F.lit(3)).alias("h"))
+    least = [some.where(F.col("quality") == y).orderBy("h", "doc_id").limit(max_docs // 2) for y in (0, 1)]
+    rows = docs.select("doc_id", "text").join(F.broadcast(least[0].union(least[1])), "doc_id").select("text", "quality", "h").collect()
+    return Crf([(r.text, r.quality) for r in sorted(rows, key=lambda r: (r.h, r.quality))])
 
 
 def score_column(docs: DataFrame, model: Crf) -> Column:

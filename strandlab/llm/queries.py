@@ -25,7 +25,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.held_out(F.col("doc_id"), 5, 0)
-    model = quality_crf.fit(docs.where(~out), table(spark, sf_dir, "labels"))
+    model = quality_crf.fit(docs, table(spark, sf_dir, "labels").where(~out))
     found = docs.select("doc_id", quality_crf.score_column(docs, model).alias("score"))
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
