@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,14 @@ from strandlab.operators import consensus, masking, quality, samples, variants
 from strandlab.plans import fixture
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder: later stages get a short plan and don't repeat its kernels."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandlab-"))
+    return df.checkpoint()
+
+
 @dataclass
 class Results:
     filtered: DataFrame
@@ -29,26 +38,25 @@ def run(reads: DataFrame, cfg: Config = DEFAULT) -> Results:
     reads = reads.select("sample_id", "read_id", "read_ord", "aln_seq", "aln_qual").withColumn("truth", F.lit(None).cast("string"))
     solid = fixture.bases(reads).where("base != '-'")
     kept = quality.mad_filter(quality.read_accuracy(solid), cfg).select("sample_id", "read_id")
-    filtered = reads.join(kept, ["sample_id", "read_id"], "left_semi")
+    filtered = cut(reads.join(kept, ["sample_id", "read_id"], "left_semi"))
     bases = fixture.bases(filtered)
     mask = masking.column_mask(bases, cfg.min_len, cfg.homopolymer_threshold, cfg.gap_fraction_cutoff, ((2, cfg.di_rep), (3, cfg.tri_rep)) if cfg.use_di_tri else ())
     keep = mask.where("not masked").select("sample_id", "pos")
     stats = variants.column_stats(variants.column_counts(bases.join(keep, ["sample_id", "pos"], "left_semi")))
     n = filtered.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_total"))
-    features = variants.feature_weights(variants.rare_variants(stats, cfg), n)
-    clusters = samples.clusters(filtered, features, cfg).cache()
+    features = cut(variants.feature_weights(variants.rare_variants(stats, cfg), n))
+    clusters = cut(samples.clusters(filtered, features, cfg))
     inliers = bases.join(clusters.where("is_outlier = 0 and cluster_id > 0").select("sample_id", "read_id", F.col("cluster_id").cast("string").alias("cluster")), ["sample_id", "read_id"])
-    cons = consensus.consensus(inliers, cfg).cache()
-    kept_seq = consensus.trimmed(cons, consensus.merge_mask(cons))
-    d = consensus.merge_distances(kept_seq).cache()
+    cons = cut(consensus.consensus(inliers, cfg))
+    d = cut(consensus.merge_distances(consensus.trimmed(cons, consensus.merge_mask(cons))))
     groups = consensus.single_linkage(cons, d, cfg.max_pairwise_distance)
     first = groups.groupBy("sample_id", "group").agg(F.min("cluster").alias("seed"))
     both = d.select("sample_id", F.col("ord_i").alias("seed"), F.col("ord_j").alias("cluster"), "d")
     groups = groups.join(first, ["sample_id", "group"]).join(both, ["sample_id", "seed", "cluster"], "left").fillna(0, ["d"])
-    merged = samples.guarded_merge(groups.select("sample_id", "cluster", "group", "d"), consensus.votes(inliers, cfg), cfg)
+    merged = cut(samples.guarded_merge(groups.select("sample_id", "cluster", "group", "d"), consensus.votes(inliers, cfg), cfg))
     back = merged.select("sample_id", "merged_id", F.explode("members").alias("cluster"))
     pooled = inliers.join(back, ["sample_id", "cluster"]).drop("cluster").withColumnRenamed("merged_id", "cluster")
-    final = consensus.consensus(pooled, cfg, mask=cfg.hp_mask_in_merge)
+    final = cut(consensus.consensus(pooled, cfg, mask=cfg.hp_mask_in_merge))
     strings = filtered.join(pooled.select("sample_id", "read_id", "cluster").distinct(), ["sample_id", "read_id"])
     summary = consensus.label(consensus.divergence(strings, final, cfg))
     sizes = reads.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
