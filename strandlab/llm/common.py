@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -82,11 +80,3 @@ def words_of(text: Column, gap: str = GAP) -> Column:
 def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
-
-def local_dir(path: str) -> str:
-    return path.removeprefix("file://")
-
-
-def remove_tree(path: str) -> None:
-    if os.path.isdir(local_dir(path)):
-        shutil.rmtree(local_dir(path), ignore_errors=True)

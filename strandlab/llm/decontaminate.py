@@ -10,7 +10,7 @@ Nothing is sampled or capped: a window is skipped only if a term of it occurs no
 
 Null texts have no words. Items without words have no windows. Items of fewer than ``size`` words are one window.
 Repeated documents, ties and extra columns change nothing; documents sharing a doc_id count as one text each in the
-matching but share the id's row (ids are taken to be unique). Empty tables give empty or clean results.
+matching but share the id's row (ids are taken to be unique); a null doc_id is never contaminated. Empty tables give empty or clean results.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ there unless most of a document is frequent. The list of frequent tokens is broa
 the threshold doubles until it is at most ``MAX_FREQUENT``. That changes the order, hence the work, never the result.
 
 Null and empty texts: an empty set, linked with nothing. Texts with fewer words than n: one shingle. Repeated rows
-collapse. Ties don't arise: tokens are ordered by hash. Rows with a null doc_id get a null component. Extra columns
+collapse. Ties don't arise: tokens are ordered by hash. doc_ids are taken to be unique; a row with a null one joins nothing of
+its own: it takes the component of an equal set, else null. Extra columns
 are not read; an empty table gives an empty result.
 """
 
