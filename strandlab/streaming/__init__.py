@@ -1 +1 @@
-"""Streaming of the read-denoising engine."""
+"""Streaming sources would go here; the engine's stages are batch, each over whole samples."""
