@@ -94,9 +94,16 @@ class Model:
 
 
 def fit(docs: DataFrame, max_docs: int = 4000, max_words: int = 50_000, max_grams: int = 50_000) -> Model:
-    """Learn from at most ``max_docs`` rows (text, lang), those with the least hash of their text."""
+    """Learn from at most ``max_docs`` distinct texts with a language, those with the least hashes.
+
+    The cut is found among hashes alone, so that only the chosen texts move.
+    """
     rows = docs.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"))
-    return Model((tuple(r) for r in rows.orderBy("h", "lang").limit(max_docs).select("text", "lang").toLocalIterator()), max_words, max_grams)
+    cut = rows.select("h").distinct().orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
+    if cut is None:
+        return Model(iter(()), max_words, max_grams)
+    chosen = rows.where(F.col("h") <= cut).groupBy("h").agg(F.min("text").alias("text"), F.min("lang").alias("lang")).collect()
+    return Model(((r.text, r.lang) for r in sorted(chosen, key=lambda r: r.h)), max_words, max_grams)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
