@@ -58,17 +58,19 @@ def connect(
     may_link: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame], DataFrame],
     rounds: int = 1,
+    labels: DataFrame | None = None,
+    finish: bool = True,
 ) -> tuple[DataFrame | None, list[DataFrame]]:
-    """(labels or None, links found) over ``members`` (key, id, *features).
+    """(labels or None, links found) over ``members`` (key, id, *features), starting from ``labels``.
 
     ``promising(x, y)``: may the pair with features under prefixes x and y link, judged by one bucket alone?
     ``may_link``: of all rows (a, b, features by prefix) of pairs, one row (a, b, shared) per pair that may link.
     ``verify``: of pairs (a, b), those that link.
+    ``finish``: compare all pairs that the rounds leave in different components; else ``rounds`` of stars alone.
     """
-    labels: DataFrame | None = None
     links: list[DataFrame] = []
     checked: DataFrame | None = None
-    fresh = lambda df, name: df.select(fresh_key(F.col("key")).alias("key"), *(F.col(c).alias(f"{name}_{c}") for c in ("id", "label", *features)))
+    fresh = lambda df, name: df.select(fresh_key(F.col("key")).alias("key"), *(F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "key"))
 
     def labelled() -> DataFrame:
         if labels is None:
@@ -92,17 +94,19 @@ def connect(
             links.append(found)
             labels = relabel(labels, found)
 
-    for turn in range(rounds + 1):
+    for turn in range(rounds + finish):
         last = turn == rounds
         df = stage(labelled(), "members") if labels is not None else labelled()
         heads = stage(leaders(df, turn), "leaders")
-        # the last turn compares everything outside its leader's component with all members of the bucket
-        x = fresh(df.join(heads.select("key", F.col("label").alias("of")), "key").where("label != of").drop("of") if last else heads, "x")
-        pairs = x.join(fresh(df, "y"), "key").where((F.col("x_label") != F.col("y_label")) & promising("x_", "y_"))
+        # the last turn compares everything outside its leader's component with all members of the bucket, two outsiders once
+        of = df.join(heads.select("key", F.col("label").alias("of")), "key").withColumn("out", F.col("label") != F.col("of")).drop("of") if last else None
+        x = fresh(of.where("out") if last else heads, "x")
+        pairs = x.join(fresh(of if last else df, "y"), "key").where((F.col("x_label") != F.col("y_label")) & promising("x_", "y_"))
+        pairs = pairs.where(~F.col("y_out") | (F.col("x_id") < F.col("y_id"))) if last else pairs
         swap = F.col("x_id") > F.col("y_id")
         side = lambda p, q: [F.when(swap, F.col(f"{q}_{c}")).otherwise(F.col(f"{p}_{c}")).alias(f"{n}_{c}") for c in features for n in ({"x": "a", "y": "b"}[p],)]
         pairs = pairs.select("key", F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), *side("x", "y"), *side("y", "x"))
-        pairs = may_link(pairs.distinct() if last else pairs)
+        pairs = may_link(pairs)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         if not last:
