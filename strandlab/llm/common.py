@@ -54,6 +54,11 @@ def drop_staged(*dfs: DataFrame) -> None:
                 folder.getFileSystem(conf).delete(folder, True)
 
 
+def tasks_for(spark: SparkSession, rows: int, per_task: int = 16) -> int:
+    """Tasks for ``rows`` rows that each stand for much work: a row each on few, ``per_task`` rows each on many."""
+    return max(1, min(rows, max(4 * spark.sparkContext.defaultParallelism, rows // per_task)))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once inside an expression, so that lambdas in ``body`` don't evaluate it again per element."""
     return F.transform(F.array(value), body)[0]

@@ -1,9 +1,13 @@
 """Operator 10: mix sources to target weights.
 
 Token streams are packed into fixed-length blocks per source; per output shard, source counts come from a seeded
-multinomial draw; each source's slots map through its own pseudorandom index permutation (a Feistel network with
+draw; each source's slots map through its own pseudorandom index permutation (a Feistel network with
 cycle walking); slots then meet blocks in a join on (source, block index).
 
+The draw goes by source: a source's number of slots is fixed by its target, and its slots fall multinomially into shards
+with equal odds. A draw over the sources per shard would miss the targets, or need the counts of all earlier shards; the price is that
+shards are of about, not exactly, the same size.
+
 Position in a source's stream needs a running sum. It is taken in two levels, so that a source with a third of all
 rows doesn't land in one task: documents are dealt into hash buckets of bounded size, bucket totals are summed per
 source, and documents are summed within their bucket.
@@ -22,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlab.llm.common import count_words, let, stage, words_of
+from strandlab.llm.common import count_words, let, stage, tasks_for, words_of
 
 BLOCK, WEIGHTS, MAX_REPEAT, DOCS_PER_BUCKET, SHARD_WORDS, SEED = 64, (1, 2, 3), 3.0, 2_000, 1 << 22, 17
 
@@ -98,7 +102,8 @@ def draw_slots(plan: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WOR
     slots = F.ceil(F.round("target") / block).cast("long") + 4
     step = 4096
     plan = plan.select("*", F.xxhash64(null_safe("source"), F.lit(seed)).alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), slots, F.lit(step).cast("long"))).alias("first"))
-    plan = plan.repartition(F.xxhash64("key", "first"))
+    # by number, since adaptive execution would take rows so narrow for little work and run them in one task
+    plan = plan.repartition(tasks_for(plan.sparkSession, plan.count()))
 
     def fill(frames):
         for pdf in frames:
@@ -193,7 +198,7 @@ def document_shares(docs: DataFrame) -> DataFrame:
     taken = pieces.groupBy("doc_id", "source").agg(F.sum("n_words").alias("taken"))
     per_doc = placed.groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
     plan = plan.select(F.col("source").alias("s2"), "source_size", "target")
-    out = per_doc.join(taken.withColumnRenamed("doc_id", "d2").withColumnRenamed("source", "s3"), (F.col("doc_id") == F.col("d2")) & F.col("source").eqNullSafe(F.col("s3")), "left")
+    out = per_doc.join(taken.withColumnRenamed("doc_id", "d2").withColumnRenamed("source", "s3"), F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("source").eqNullSafe(F.col("s3")), "left")
     out = out.join(plan, F.col("source").eqNullSafe(F.col("s2")))
     return out.select("doc_id", "source", "size", "source_size", F.col("target").cast("double"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 

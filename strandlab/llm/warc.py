@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm.common import fresh_key
+from strandlab.llm.common import fresh_key, tasks_for
 
 MAGIC, CHUNK, HEAD = b"\x1f\x8b\x08", 1 << 20, 1 << 14
 SCHEMA = "page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string"
@@ -97,19 +97,19 @@ def parse(data: bytes) -> dict:
 
 
 class Window:
-    """A buffer over a seekable file that moves forward: bytes from ``at`` on, read as they are asked for."""
+    """A buffer over a seekable file that moves forward: bytes from ``at`` on, which stand in ``data`` from ``pos`` on."""
 
     def __init__(self, file, at: int) -> None:
-        self.file, self.at, self.data = file, at, b""
+        self.file, self.at, self.data, self.pos = file, at, b"", 0
         file.seek(at)
 
     def more(self) -> bool:
         data = self.file.read(CHUNK)
-        self.data += data
+        self.data, self.pos = self.data[self.pos :] + data, 0
         return bool(data)
 
     def skip(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
+        self.pos, self.at = self.pos + n, self.at + n
 
 
 def decode(w: Window) -> tuple[bytes, int] | None:
@@ -118,9 +118,9 @@ def decode(w: Window) -> tuple[bytes, int] | None:
     out, done = [], 0
     try:
         while not unpack.eof:
-            if done == len(w.data) and not w.more():
+            if w.pos + done == len(w.data) and not w.more():
                 return None
-            part = w.data[done : done + (CHUNK if out else HEAD)]
+            part = w.data[w.pos + done : w.pos + done + (CHUNK if out else HEAD)]
             out.append(unpack.decompress(part))
             done += len(part)
             if len(out) == 1 and out[0] and not out[0].startswith(b"WARC/"[: len(out[0])]):
@@ -135,13 +135,13 @@ def records_in(file, start: int, end: int) -> Iterator[dict]:
     """The records of ``file`` that start in [start, end)."""
     w = Window(file, start)
     while w.at < end:
-        i = w.data.find(MAGIC)
+        i = w.data.find(MAGIC, w.pos)
         if i < 0:
-            w.skip(max(0, len(w.data) - 2))
+            w.skip(max(0, len(w.data) - 2 - w.pos))
             if not w.more():
                 return
             continue
-        w.skip(i)
+        w.skip(i - w.pos)
         if w.at >= end:
             return
         found = decode(w)
@@ -165,7 +165,9 @@ def read_archive(spark: SparkSession, path: str, split_bytes: int = 8 << 20) ->
     if path.partition(":")[0] not in PYARROW_SCHEMES:
         return files.mapInPandas(_whole_files, SCHEMA)
     ranges = files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, "length").alias("end")).repartition("path", "start")
+    ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, "length").alias("end"))
+    # by number, since adaptive execution would take rows so narrow for little work and read them in one task
+    ranges = ranges.repartition(tasks_for(spark, ranges.count()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
