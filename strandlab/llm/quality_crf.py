@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ def line_features(line: str) -> list[float]:
     n, size = len(words), len(line)
     if not n:
         return [1.0] + [0.0] * (N_OWN - 1)
-    letters = sum(map(str.isalpha, line)) if size < 400 else size - len(re.findall(r"[\W\d_]", line))
+    letters = size - len(re.findall(r"[\W\d_]", line))
     upper = len(re.findall(r"[A-ZÀ-Þ]", line))
     same = sum(a == b for a, b in zip(words, words[1:], strict=False))
     symbols = len(SYMBOL.findall(line))
@@ -151,12 +152,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000) -> Crf:
 
 def score_column(docs: DataFrame, model: Crf) -> Column:
     """The score of ``docs.text``, whole, from Arrow batches."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = cloudpickle.loads(shared.value)
         for batch in texts:
-            yield pd.Series([shared.value.score(t) for t in batch], dtype=float)
+            yield pd.Series([own.score(t) for t in batch], dtype=float)
 
     return score(docs["text"])
 
