@@ -31,9 +31,14 @@ def url_keys(url: Column) -> Column:
     return F.when(host(url) != "", F.array_distinct(F.array_append(suffixes, F.concat(host(url), path)))).otherwise(F.array().cast("array<string>"))
 
 
+def pattern_key(pattern: Column) -> Column:
+    """A listed pattern as ``url_keys`` has it: the host in lower case, the path as it is."""
+    return F.concat(F.lower(F.substring_index(pattern, "/", 1)), F.regexp_extract(pattern, r"(?s)^[^/]*(.*)$", 1))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, pattern, valid_from, valid_to): from an ``add`` to the next ``remove``; null valid_to: still listed."""
-    entries = entries.where("pattern is not null and at is not null and action in ('add', 'remove')").select("list", F.lower("pattern").alias("pattern"), "action", "at").distinct()
+    entries = entries.where("pattern is not null and at is not null and action in ('add', 'remove')").select("list", pattern_key(F.col("pattern")).alias("pattern"), "action", "at").distinct()
     history = Window.partitionBy("list", "pattern").orderBy("at", "action")
     changes = entries.withColumn("was", F.lag("action", 1, "remove").over(history)).where("action != was")
     return changes.withColumn("valid_to", F.lead("at").over(history)).where("action = 'add' and (valid_to is null or valid_to > at)").select("list", "pattern", F.col("at").alias("valid_from"), "valid_to")
