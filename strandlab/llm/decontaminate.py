@@ -9,6 +9,7 @@ pairs of anchors less than a window apart in the item that a document has at dia
 Nothing is sampled or capped. Terms that occur nowhere in the corpus are never anchors; a window with one gives no phrase.
 
 Null texts have no words. Items without words have no windows. Items of fewer than ``size`` words are one window.
+Items that share an item_id are matched one by one and count as one; repeated items count once, null item_ids as hits without a name.
 Repeated documents, ties and extra columns change nothing; documents sharing a doc_id count as one text each in the
 matching but share the id's row (ids are taken to be unique); a null doc_id is never contaminated. Empty tables give empty or clean results.
 """
@@ -97,10 +98,11 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int =
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items (sorted as strings), n_near and contaminated."""
     docs = docs.select("doc_id", "text")
-    phrase, near = find(docs, benchmark.select("item_id", "text"), size, slop)
+    items = benchmark.select(F.struct("item_id", F.xxhash64("text").alias("text")).alias("item_id"), "text").dropDuplicates(["item_id"])
+    phrase, near = find(docs, items, size, slop)
     before = F.max(F.col("start") + F.col("length")).over(Window.partitionBy("doc_id").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("start") + F.col("length") - F.greatest(F.col("start"), F.coalesce(before, F.lit(0))))
-    hit = phrase.withColumn("fresh", fresh).groupBy("doc_id").agg(F.sum("fresh").alias("n_hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    hit = phrase.withColumn("fresh", fresh).groupBy("doc_id").agg(F.sum("fresh").alias("n_hit"), F.array_sort(F.collect_set(F.col("item_id.item_id").cast("string"))).alias("items"))
     close = near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_near"))
     n_words = F.size(words_of(lower_ascii(F.col("text")), ALNUM_GAP)).cast("long")
     out = docs.select("doc_id", n_words.alias("n_words")).join(hit, "doc_id", "left").join(close, "doc_id", "left")
