@@ -29,12 +29,16 @@ TEMPLATES = [
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
+    ("gpl-2", "this work is licensed under the gnu general public license version 2"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-by", "licensed under cc by 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
 ]
+# Words that a label's spans must hold side by side, since its templates differ from another label's in these alone.
+REQUIRED = {"mit": ("mit license", "hereby granted free of charge"), "gpl-3": ("license version 3",), "gpl-2": ("license version 2",), "cc-by-nc": ("by nc",), "cc-by-sa": ("by sa",), "cc-by": ("by 4", "attribution 4")}
 MIN_MATCH, MAX_GAP, MIN_COVER = 3, 8, 0.6
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -133,7 +137,7 @@ class Scanner:
             last = (i, v, size)
         if last[2] >= MIN_MATCH:
             long.append(last)
-        spans = self._chain(long)
+        spans = [s for s in self._chain(long) if self._tells(s[0], words[s[1] : s[2]])]
         base = {label for _, label in places}
         return {
             "n_words": len(words), "n_base": len(places),
@@ -142,6 +146,11 @@ class Scanner:
             "score": 1.0 if places else max((s[3] for s in spans), default=0.0), "spans": spans,
         }
 
+    def _tells(self, label: str, words: list[str]) -> bool:
+        """Whether a span has the words that tell its label from others."""
+        held = f" {' '.join(words)} "
+        return label not in REQUIRED or any(f" {r} " in held for r in REQUIRED[label])
+
     def _chain(self, long: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
         """Per template, chains of matches in document and template order; gaps in the document of at most MAX_GAP words."""
         open_: dict[int, list] = {}
