@@ -302,3 +302,76 @@ def test_permutation():
         key = np.uint64(99)
         p = mixing.permute(np.arange(n), np.full(n, n), np.full(n, key))
         assert sorted(p) == list(range(n)) and all(mixing._position(int(v), n, key) == i for i, v in enumerate(p))
+
+
+def test_license_near_misses():
+    labels = lambda text: licenses.Scanner().scan(text)["labels"]
+    assert labels("This work is licensed under the GNU General Public License version 2") == "gpl-2"
+    assert labels("This work is licensed under the GNU General Public License version 3") == "gpl-3"
+    assert labels("Licensed under CC BY 4.0") == "cc-by" and labels("licensed under CC BY-SA 4.0") == "cc-by-sa"
+    assert labels("Licensed under the CC BY-NC 4.0") == "cc-by-nc"
+
+
+def test_url_filters_path_case(spark):
+    import datetime as dt
+
+    at = dt.datetime(2024, 1, 1)
+    entries = spark.createDataFrame([("a", "X.org/P/q", "add", at)], "list string, pattern string, action string, at timestamp")
+    captures = spark.createDataFrame([(0, "http://x.org/P/q", at), (1, "http://x.org/p/q", at)], "id long, url string, fetched timestamp")
+    assert {r.id: r.blocked for r in url_filters.match(captures, entries).collect()} == {0: True, 1: False}
+
+
+def test_decontamination_of_shared_items(spark):
+    bench = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (1, "wizards brew"), (None, "lazy dog")], "item_id long, text string")
+    table = spark.createDataFrame([(0, "so one two three go"), (1, "wizards brew"), (2, "the lazy dog"), (3, "one two brew")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in decontaminate.contamination(table, bench).collect()}
+    assert got == {0: (3, ["1"], True), 1: (2, ["1"], True), 2: (2, [], True), 3: (0, [], False)}
+
+
+def test_mix_of_null_ids(spark):
+    df = spark.createDataFrame([(None, "a b c d " * 50, "s"), (1, "e f " * 50, "s"), (None, "g " * 90, "t")], "doc_id long, text string, source string")
+    out = mixing.document_shares(df).collect()
+    for s in ("s", "t"):
+        assert abs(sum(r.taken for r in out if r.source == s) - next(r.target for r in out if r.source == s)) <= 1
+
+
+def test_mix_over_many_shards(spark):
+    _, plan, pieces = mixing.mix(docs(spark), block=16, shard_words=2_000)
+    per_shard = collections.Counter()
+    for r in pieces.select("shard", "n_words").collect():
+        per_shard[r.shard] += r.n_words
+    total = sum(r.target for r in plan.collect())
+    assert len(per_shard) == round(total / 2_000) and 1.6 * total / len(per_shard) > max(per_shard.values()) and abs(sum(per_shard.values()) - total) <= 10
+
+
+def test_warc_ranges_run_in_tasks_of_their_own(spark):
+    path = new_path(spark, "warc-test")
+    pages = spark.range(200).selectExpr("id as page_id", "'u' as url", "repeat(md5(cast(id as string)), 40) as html")
+    warc.write_archive(pages, path)
+    got = warc.read_archive(spark, path, 1 << 12)
+    assert got.rdd.getNumPartitions() >= 8 and got.count() == 200
+
+
+def test_language_backoff(spark):
+    model = language_id.Model(iter([("abcd abcd xyzw", "p"), ("zzcd zzcd xyzw", "q"), ("abcd qqqq qqqq", "p")]))
+    near, far = model.tail("^abc"), model.tail("?abc")
+    assert near[0] == 0 and all(abs(f - 0.4 * n) < 1e-9 for f, n in zip(model.tail("?bcd"), model.tail("bcd"), strict=True)) and far != near
+    assert model.word("abcd")[0] == 0 and model.word("abcd")[1] < 0
+
+
+def test_models_travel_without_the_package(spark, tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    crf = quality_crf.Crf([("good text of many plain words.", 1), ("## || $$ 11", 0)], rounds=2)
+    lang = language_id.Model(iter([("le la les le la", "fr"), ("the of the of", "en")]))
+    (tmp_path / "m").write_bytes(cloudpickle.dumps((crf, lang)))
+    code = "import sys, pickle; a, b = pickle.load(open('m', 'rb')); a.score('x y'); b.predict('the', {}); assert 'strandlab' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=60, env={"PATH": "/usr/bin"})
+
+
+def test_letters_count_alike_at_every_length():
+    short, long = quality_crf.line_features("½½ a. "), quality_crf.line_features("½½ a. " * 200)
+    assert abs(short[5] - long[5]) < 1e-9
