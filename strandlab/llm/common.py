@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -59,6 +60,12 @@ def tasks_for(spark: SparkSession, rows: int, per_task: int = 16) -> int:
     return max(1, min(rows, max(4 * spark.sparkContext.defaultParallelism, rows // per_task)))
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to any more, instead of at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once inside an expression, so that lambdas in ``body`` don't evaluate it again per element."""
     return F.transform(F.array(value), body)[0]
