@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 
@@ -36,7 +37,7 @@ class Config:
     lambda_min: float = 0.5
     lambda_max: float = 0.8
     # sweep and flags
-    grid: tuple[int, ...] = (9, 12, 15, 18, 21, 24, 30, 35, 40, 50, 60)
+    grid: tuple[int, ...] | Callable[[], tuple[int, ...]] = (9, 12, 15, 18, 21, 24, 30, 35, 40, 50, 60)
     extra_min_pts: tuple[int, ...] = (7, 5, 4, 3)
     weights: tuple[float, ...] = (0.1, 0.05, 0.05, 0.55, 0.25)
     selection_epsilon: float = 0.05

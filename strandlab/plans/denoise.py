@@ -53,12 +53,12 @@ def run(reads: DataFrame, cfg: Config = DEFAULT) -> Results:
     first = groups.groupBy("sample_id", "group").agg(F.min("cluster").alias("seed"))
     both = d.select("sample_id", F.col("ord_i").alias("seed"), F.col("ord_j").alias("cluster"), "d")
     groups = groups.join(first, ["sample_id", "group"]).join(both, ["sample_id", "seed", "cluster"], "left").fillna(0, ["d"])
-    merged = cut(samples.guarded_merge(groups.select("sample_id", "cluster", "group", "d"), consensus.votes(inliers, cfg), cfg))
+    merged = cut(samples.guarded_merge(groups.select("sample_id", "cluster", "group", "d"), consensus.ballots(inliers, cfg), cfg))
     back = merged.select("sample_id", "merged_id", F.explode("members").alias("cluster"))
     pooled = inliers.join(back, ["sample_id", "cluster"]).drop("cluster").withColumnRenamed("merged_id", "cluster")
     final = cut(consensus.consensus(pooled, cfg, mask=cfg.hp_mask_in_merge))
     strings = filtered.join(pooled.select("sample_id", "read_id", "cluster").distinct(), ["sample_id", "read_id"])
-    summary = consensus.label(consensus.divergence(strings, final, cfg))
+    summary = consensus.label(consensus.divergence(strings, final, cfg), single=True)
     sizes = reads.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
     errors = sizes.join(clusters.select("sample_id").distinct(), "sample_id", "left_anti").select("sample_id", F.lit("quality filter").alias("stage"), F.concat(F.lit("too few reads: "), "n").alias("message"))
     return Results(filtered, features, clusters, cons, merged, summary, errors)

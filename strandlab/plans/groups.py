@@ -80,7 +80,7 @@ def final_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MERGE_MASK = """
 hpm AS (SELECT sample_id, unnest(range(p, p + len(r))) AS pos FROM (
-  SELECT sample_id, p, regexp_replace(regexp_extract(substr(seq, p), '^(A[AMRVWHDN-]*|C[CMSVYHBN-]*|G[GRSVKDBN-]*|T[TWYHKDBN-]*)', 1), '-+$', '') AS r FROM (SELECT sample_id, seq, unnest(range(1, len(seq) + 1)) AS p FROM cons)) WHERE len(replace(r, '-', '')) >= 6),
+  SELECT sample_id, p, regexp_extract(substr(seq, p), '^(A[AMRVWHDN-]*|C[CMSVYHBN-]*|G[GRSVKDBN-]*|T[TWYHKDBN-]*)', 1) AS r FROM (SELECT sample_id, seq, unnest(range(1, len(seq) + 1)) AS p FROM cons)) WHERE len(replace(r, '-', '')) >= 6),
 dgm AS (SELECT sample_id, seq, list_filter(range(1, len(seq) + 1), lambda p: substr(seq, p, 1) <> '-') AS ps, replace(seq, '-', '') AS d FROM cons),
 rep AS (SELECT sample_id, ps[i] AS f, ps[i + u * 4 - 1] AS l FROM (SELECT sample_id, ps, d, u, unnest(range(1, greatest(len(d) - u * 4 + 2, 1))) AS i FROM dgm, (VALUES (2), (3)) v(u)) WHERE substr(d, i, u * 4) = repeat(substr(d, i, u), 4) AND regexp_matches(substr(d, i, u * 4), '^[ACGT]+$')),
 mm AS (SELECT DISTINCT sample_id, pos::INT AS pos FROM (SELECT sample_id, pos FROM hpm UNION ALL SELECT sample_id, unnest(range(f, l + 1)) FROM rep))"""
