@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import tempfile
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlab.config import DEFAULT, Config
 from strandlab.operators import consensus, masking, quality, samples, variants
 from strandlab.plans import fixture
+from strandlab.sources import files
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -21,6 +23,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@dataclass
+class Aligned:
+    reads: DataFrame
+    report: DataFrame
+    errors: DataFrame
+
+
+def align(raw: DataFrame, cfg: Config = DEFAULT, aligner: Callable[[DataFrame], DataFrame] = samples.align) -> Aligned:
+    """Raw reads (sample_id, read_id, read_ord, seq, qual) to aligned ones, with a report per sample.
+
+    ``aligner`` makes (sample_id, read_id, read_ord, aln_seq) of them. A sample with a bad read, with too few reads of
+    enough quality or with ids that repeat up to the first space is a row in ``errors``; the others go on.
+    """
+    bad = files.invalid_reads(raw).groupBy("sample_id", "stage").agg(F.min("message").alias("message"))
+    good = raw.join(bad.select("sample_id"), "sample_id", "left_anti")
+    good = cut(good.withColumn("read_id", F.substring_index("read_id", " ", 1)).withColumn("avg_q", quality.mean_q(F.col("qual"))))
+    kept = quality.min_q_guard(good, cfg)
+    twice = quality.duplicate_ids(kept).select("sample_id").distinct()
+    few = good.select("sample_id").distinct().join(kept.select("sample_id").distinct(), "sample_id", "left_anti")
+    kept = cut(kept.join(twice, "sample_id", "left_anti"))
+    stopped = [df.select("sample_id", F.lit("align").alias("stage"), F.lit(why).alias("message")) for df, why in ((few, "too few reads of enough quality"), (twice, "ids repeat"))]
+    out = aligner(kept).join(kept.select("sample_id", "read_id", "qual", "avg_q"), ["sample_id", "read_id"])
+    out = cut(out.join(quality.regap_quality(out), ["sample_id", "read_id"]))
+    report = quality.align_report(out.drop("avg_q"), out.select("sample_id", "read_id", "avg_q"))
+    return Aligned(out.select("sample_id", "read_id", "read_ord", "aln_seq", "aln_qual"), report, bad.union(stopped[0]).union(stopped[1]))
+
+
 @dataclass
 class Results:
     filtered: DataFrame
@@ -62,3 +91,24 @@ def run(reads: DataFrame, cfg: Config = DEFAULT) -> Results:
     sizes = reads.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
     errors = sizes.join(clusters.select("sample_id").distinct(), "sample_id", "left_anti").select("sample_id", F.lit("quality filter").alias("stage"), F.concat(F.lit("too few reads: "), "n").alias("message"))
     return Results(filtered, features, clusters, cons, merged, summary, errors)
+
+
+def run_files(spark: SparkSession, path: str, cfg: Config = DEFAULT, done: DataFrame | None = None) -> Results:
+    """Denoise the FASTQ files at ``path``, a sample each, but for samples in ``done``; errors of all stages together."""
+    raw = files.read_fastq(spark, path, cfg=cfg)
+    start = align(cut(files.pending(raw, done) if done is not None else raw), cfg)
+    out = run(start.reads, cfg)
+    return replace(out, errors=start.errors.union(out.errors))
+
+
+def write(out: Results, path: str) -> None:
+    """Reads per cluster (outliers marked in their ids), consensuses, final sequences, summary and errors under ``path``."""
+    reads = out.filtered.join(out.clusters.where("cluster_id > 0"), ["sample_id", "read_id"]).repartition("sample_id", "cluster_id")
+    name = F.concat(F.lit(">"), "read_id", F.when(F.col("is_outlier") > 0, "_OUTLIER").otherwise(""))
+    rows = reads.sortWithinPartitions("sample_id", "cluster_id", "is_outlier", "read_ord").select("sample_id", "cluster_id", F.concat(name, F.lit("\n"), "aln_seq").alias("value"))
+    rows.write.mode("overwrite").partitionBy("sample_id", "cluster_id").text(f"{path}/clusters")
+    files.write_fasta(out.consensus.withColumn("name", F.concat("sample_id", F.lit("__CL"), "cluster")), f"{path}/consensus")
+    summary = cut(out.summary)
+    files.write_fasta(consensus.final_results(summary), f"{path}/final")
+    summary.write.mode("overwrite").parquet(f"{path}/summary")
+    out.errors.write.mode("overwrite").parquet(f"{path}/errors")
