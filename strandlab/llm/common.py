@@ -5,8 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,3 +95,14 @@ def words_of(text: Column, gap: str = GAP) -> Column:
 def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
+
+
+def in_slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``most`` bytes of ``column``; a longer row is a slice of its own. Bounds a task's memory by its longest row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < batch.num_rows:
+        base = int(ends[first - 1]) if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, base + most, "right")))
+        yield batch.slice(first, end - first)
+        first = end

@@ -66,7 +66,25 @@ SELECT page_id, coalesce(string_agg(DISTINCT list, ',' ORDER BY list), '') AS li
 FROM (SELECT DISTINCT page_id FROM p) LEFT JOIN m USING (page_id) GROUP BY page_id
 """
 
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id::VARCHAR) AS x FROM documents),
+h AS (
+  SELECT doc_id, t, length(t) AS n, ('0x' || substr(x, 1, 8))::BIGINT AS h1, ('0x' || substr(x, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(x, 17, 8))::BIGINT AS h3, ('0x' || substr(x, 25, 8))::BIGINT AS h4 FROM d),
+p AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR t LIKE '%<P>%' OR t LIKE '%<S>%' OR t LIKE '%<M>%' OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+o AS (
+  SELECT doc_id, t, n, a, b, form, CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || left(t, a) || '<S>' || substring(t, b + 1) || '<M>' || substring(t, a + 1, b - a)
+    ELSE '<S>' || substring(t, b + 1) || '<P>' || left(t, a) || '<M>' || substring(t, a + 1, b - a) END AS o FROM p)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+  sha256(o) AS output_sha256, sha256(t) AS restored_sha256
+FROM o
+"""
+
 ORACLES = {
+    "op12_fill_middle": OP12,
     "op4_url_filters": OP4,
     "op6_decontaminate": OP6,
     "op5_quality_rules": OP5,

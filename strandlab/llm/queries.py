@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm import decontaminate, language_id, licenses, line_dedup, mixing, ngram_join, oracles, quality_crf, quality_rules, url_filters, warc
-from strandlab.llm.common import new_path, table
+from strandlab.llm import decontaminate, fill_middle, language_id, licenses, line_dedup, mixing, ngram_join, oracles, packing, periodic_runs, quality_crf, quality_rules, url_filters, warc
+from strandlab.llm.common import let, new_path, table, words_of
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,40 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, by a hash of doc_id, the words from some place on repeat with a period."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    g = F.floor(h / 10).cast("long")
+
+    def repeat(w):
+        n = F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")).otherwise("")
+
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words_of(F.col("text")), repeat)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.find_runs(planted_repeats(table(spark, sf_dir, "documents")))
+    # lengths and periods are word numbers, so the products are exact; the first of equal runs stays, as runs are in order
+    best = F.aggregate("runs", F.element_at(F.slice("runs", 1, 1), 1), lambda a, r: F.when(r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a))
+    out = out.withColumn("best", F.when(F.size("runs") > 0, best))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -76,5 +110,8 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op10_source_mix": op10_source_mix,
     "op5_quality_rules": op5_quality_rules,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 ORACLES = oracles.ORACLES
