@@ -1,6 +1,7 @@
 """Periodic runs, fill-in-middle and packing against brute force on small awkward tables."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -120,19 +121,29 @@ def test_fill_in_middle(spark):
     assert fill_middle.fill_in_middle(empty(spark)).count() == 0
 
 
-def whole_ids(texts):
+@functools.cache
+def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    return [e.ids + [0] for e in t.encode_batch(texts, add_special_tokens=False)]
+    return t
+
+
+def whole_ids(texts):
+    return [e.ids + [0] for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
+
+
+@functools.cache
+def encoder():
+    return packing.Encoder("byte_bpe_50k.json")
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=" \n\t\r\x0b\x1c\x85\xa0 　ab'sé漢1.!<|>\x00", max_size=30), min_size=1, max_size=5))
 def test_ids_by_pieces_equal_ids_of_whole_texts(texts):
-    assert [list(np.frombuffer(b, "<u4")) + [0] for b in packing.Encoder("byte_bpe_50k.json").encode(texts)] == whole_ids(texts)
+    assert [list(np.frombuffer(b, "<u4")) + [0] for b in encoder().encode(texts)] == whole_ids(texts)
 
 
 def slow_best_fit(lengths, capacity):
