@@ -146,6 +146,16 @@ def test_ids_by_pieces_equal_ids_of_whole_texts(texts):
     assert [list(np.frombuffer(b, "<u4")) + [0] for b in encoder().encode(texts)] == whole_ids(texts)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=" \n\nab.", max_size=16), min_size=1, max_size=6), st.sampled_from([3, 1 << 19]))
+def test_ids_of_lines_and_blanks(texts, cache):
+    held, packing.CACHE = packing.CACHE, cache
+    try:
+        assert [list(np.frombuffer(b, "<u4")) + [0] for b in encoder().encode(texts)] == whole_ids(texts)
+    finally:
+        packing.CACHE = held
+
+
 def slow_best_fit(lengths, capacity):
     """Rooms left after best fit decreasing, one piece at a time."""
     rooms = []
