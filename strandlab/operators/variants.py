@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from strandlab.config import DEFAULT, Config
 
@@ -27,20 +31,76 @@ def column_stats(counts: DataFrame) -> DataFrame:
     return out.withColumns({"p1": share(0), "p2": share(1), "p3": share(2), "major": major}).withColumn("nonmajor", F.when(F.col("depth") > 0, 1 - F.col("p1")).otherwise(0.0))
 
 
-def background(stats: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Kept columns with bg: the median non-major rate of the kept columns within ``window`` places."""
+def median(rate: Column) -> Column:
+    return F.percentile(rate, F.lit(0.5))
+
+
+def number(df: DataFrame, name: str, what: str) -> DataFrame:
+    """``df``, if its column ``name``, which ``what`` made, is a number."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, NumericType):
+        raise TypeError(f"{what} must give a number, not {kind.simpleString()}")
+    return df
+
+
+def background(stats: DataFrame, cfg: Config = DEFAULT, fun: Callable[[Column], Column] = median) -> DataFrame:
+    """Kept columns with bg: ``fun``, an aggregate, of the non-major rates of the kept columns within ``window`` places; what isn't
+    finite counts 0."""
     kept = stats.where((F.col("gap_frac") <= cfg.max_gap_frac) & (F.col("depth") > 0))
     line = Window.partitionBy("sample_id").orderBy("pos").rowsBetween(-cfg.window, cfg.window)
-    return kept.withColumn("bg", F.percentile(F.col("nonmajor"), F.lit(0.5)).over(line))
+    out = number(kept.withColumn("bg", fun(F.col("nonmajor")).over(line)), "bg", "the background's function")
+    return out.withColumn("bg", F.when(F.abs(F.col("bg")) < float("inf"), F.col("bg")).otherwise(0.0))
+
+
+#: ln n! less Stirling's main terms, for n from 0 to 15; 0 has none.
+SMALL = [0.0] + [math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) for n in range(1, 16)]
+STEPS = 160
+
+
+def _stirling_rest(n: Column) -> Column:
+    """ln n! - ((n + 1/2) ln n - n + ln(2 pi) / 2) for whole n."""
+    m = F.greatest(n, F.lit(16)).cast("double")
+    series = (F.lit(1 / 12) - (F.lit(1 / 360) - (F.lit(1 / 1260) - F.lit(1 / 1680) / (m * m)) / (m * m)) / (m * m)) / m
+    return F.when(n > 15, series).otherwise(F.element_at(F.array(*map(F.lit, SMALL)), F.least(n, F.lit(15)).cast("int") + 1))
+
+
+def binomial_pmf(k: Column, n: Column, p: Column) -> Column:
+    """P(Binomial(n, p) = k) for 0 < k < n, by Loader's saddle-point form, which loses no digits to large factorials."""
+    deviance = lambda x, mean: x * F.log(x / mean) + mean - x
+    rest = _stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k) - deviance(k, n * p) - deviance(n - k, n * (1 - p))
+    return F.sqrt(n / (2 * math.pi * k * (n - k))) * F.exp(rest)
+
 
+def binomial_survival(k: Column, n: Column, p: Column, steps: int = STEPS) -> Column:
+    """P(Binomial(n, p) >= k) as an incomplete beta function: its continued fraction by Lentz's method, ``steps`` terms whatever n.
 
-def binomial_survival(k: Column, n: Column, p: Column) -> Column:
-    """P(Binomial(n, p) >= k): a running log term, summed from k on, inside one expression."""
-    odds = F.log(p) - F.log1p(-p)
-    start = F.struct((n * F.log1p(-p)).alias("l"), F.lit(0.0).alias("s"))
-    step = lambda a, x: F.struct((a["l"] + F.log((n - x + 1) / x) + odds).alias("l"), (a["s"] + F.when(x >= k, F.exp(a["l"] + F.log((n - x + 1) / x) + odds)).otherwise(0.0)).alias("s"))
-    upper = F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, step, lambda a: a["s"])
-    return F.when(k <= 0, 1.0).otherwise(F.least(F.lit(1.0), upper))
+    The tail that the fraction converges on fast is taken, the other is its complement. Errors stay below 1e-9 up to n = 10^6.
+    """
+    a, b, x = k.cast("double"), (n - k + 1).cast("double"), p.cast("double")
+    near = x < (a + 1) / (a + b + 2)
+    tail = F.struct(F.when(near, a).otherwise(b).alias("a"), F.when(near, b).otherwise(a).alias("b"), F.when(near, x).otherwise(1 - x).alias("x"))
+
+    def fraction(t: Column) -> Column:
+        a, b, x = t["a"], t["b"], t["x"]
+        away = lambda v: F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
+        d0 = 1 / away(1 - (a + b) * x / (a + 1))
+        start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
+
+        def half(s: Column, term: Column) -> Column:
+            part = F.struct(away(1 + term / s["c"]).alias("c"), (1 / away(1 + term * s["d"])).alias("d"), s["h"].alias("h"))
+            return F.transform(F.array(part), lambda q: F.struct(q["c"].alias("c"), q["d"].alias("d"), (q["h"] * q["c"] * q["d"]).alias("h")))[0]
+
+        def step(s: Column, m: Column) -> Column:
+            even = half(s, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)))
+            both = F.transform(F.array(even), lambda q: half(q, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))))[0]
+            return F.when(F.abs(s["c"] * s["d"] - 1) < 1e-16, s).otherwise(both)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["h"])
+
+    front = binomial_pmf(F.greatest(F.least(k, n - 1), F.lit(1)), F.greatest(n, F.lit(2)), p) * (1 - p)
+    value = F.transform(F.array(tail), fraction)[0]
+    inner = F.when(near, front * value).otherwise(1 - front * a / b * value)
+    return F.when(k <= 0, 1.0).when(k > n, 0.0).when(k == n, F.pow(p, n)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), inner)))
 
 
 def adjust(rows: DataFrame, p: str = "p", group: str = "sample_id") -> DataFrame:
@@ -51,9 +111,9 @@ def adjust(rows: DataFrame, p: str = "p", group: str = "sample_id") -> DataFrame
     return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("m") / F.col("r")).over(down))).drop("r", "m")
 
 
-def candidates(stats: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def candidates(stats: DataFrame, cfg: Config = DEFAULT, fun: Callable[[Column], Column] = median) -> DataFrame:
     """Non-major bases with enough reads and enough excess over the background, and the binomial p of their count."""
-    bg = background(stats, cfg)
+    bg = background(stats, cfg, fun)
     each = F.explode(F.array(*(F.struct(F.lit(b).alias("base"), F.col(c).alias("k")) for b, c in zip("ACGT", ("n_a", "n_c", "n_g", "n_t"), strict=True)))).alias("x")
     rows = bg.select("sample_id", "pos", "major", F.col("depth").alias("n"), "gap_frac", "bg", "p1", "p2", "p3", each).select("*", "x.base", "x.k").drop("x").where("base != major")
     p0 = F.greatest(F.least(F.greatest(F.coalesce("bg", F.lit(0.0)), F.lit(0.0)), F.lit(0.25)), F.lit(5e-4))
@@ -62,9 +122,9 @@ def candidates(stats: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return rows.withColumn("p", binomial_survival(F.col("k"), F.col("n"), F.col("p0")))
 
 
-def rare_variants(stats: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def rare_variants(stats: DataFrame, cfg: Config = DEFAULT, fun: Callable[[Column], Column] = median) -> DataFrame:
     """Candidates whose adjusted p is at most the false-discovery rate."""
-    return adjust(candidates(stats, cfg)).where(F.col("q") <= cfg.fdr)
+    return adjust(candidates(stats, cfg, fun)).where(F.col("q") <= cfg.fdr)
 
 
 def feature_weights(variants: DataFrame, n_reads: DataFrame) -> DataFrame:
@@ -90,6 +150,19 @@ def ambiguity_sites(counts: DataFrame, keep: DataFrame, min_count: int, cfg: Con
     return counts.join(keep.select("sample_id", "pos"), COLUMN, "left_semi").groupBy("sample_id", "cluster").agg(F.count_if(hit).alias("ambig_sites"))
 
 
+def ambiguity_table(bases: DataFrame, labels: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """(sample_id, cluster, n_reads, ambig_sites) of every cluster; cluster '0', noise, is always there and has none.
+
+    ``labels``: (sample_id, read_id, cluster). Columns that are nearly all gaps don't count.
+    """
+    keep = column_counts(bases).where(F.col("n_gap") / F.col("n_all") <= cfg.max_gap_frac)
+    counts = column_counts(bases.join(labels.where("cluster != '0'"), ["sample_id", "read_id"]), "cluster")
+    sites = ambiguity_sites(counts, keep, cfg.min_reads, cfg).withColumnRenamed("ambig_sites", "sites")
+    sizes = labels.unionByName(labels.select("sample_id").distinct().select("sample_id", F.lit(None).cast("string").alias("read_id"), F.lit("0").alias("cluster")))
+    sizes = sizes.groupBy("sample_id", "cluster").agg(F.count("read_id").alias("n_reads"))
+    return sizes.join(sites, ["sample_id", "cluster"], "left").select("sample_id", "cluster", "n_reads", F.when(F.col("cluster") != "0", F.coalesce("sites", F.lit(0))).alias("ambig_sites"))
+
+
 def contrast(counts: DataFrame, sizes: DataFrame, min_node: int = 10, min_minor: int = 3, least: float = 0.1) -> DataFrame:
     """(sample_id, pos, score): the greatest contrast of a group's base shares with the rest of its sample.
 
@@ -107,14 +180,20 @@ def contrast(counts: DataFrame, sizes: DataFrame, min_node: int = 10, min_minor:
     return rows.groupBy("sample_id", "pos").agg(F.max("score").alias("score")).where(F.col("score") >= least)
 
 
-def one_hot(bases: DataFrame, weights: DataFrame) -> DataFrame:
-    """(sample_id, read_id, feature, value): confidence times column weight; 'N' has none.
+def confidence(base: Column, q: Column) -> Column:
+    """0.98 for gaps, for bases the square of their accuracy."""
+    return F.when(base == "-", 0.98).otherwise(F.pow(1 - F.pow(F.lit(10.0), -q / 10), F.lit(2.0)))
+
+
+def one_hot(bases: DataFrame, weights: DataFrame, fun: Callable[[Column, Column], Column] = confidence) -> DataFrame:
+    """(sample_id, read_id, feature, value): ``fun`` of symbol and quality, times the column's weight; 'N' has none.
 
-    Gaps count 0.98, bases the square of their accuracy; ``weights`` is (sample_id, pos, weight).
+    ``weights`` is (sample_id, pos, weight).
     """
-    sure = F.when(F.col("base") == "-", 0.98).otherwise(F.pow(1 - F.pow(F.lit(10.0), -F.col("q") / 10), F.lit(2.0)))
+    sure = fun(F.col("base"), F.col("q"))
     name = F.concat_ws("_", "base", (F.col("pos") - 1).cast("string"))
-    return bases.where("base != 'N'").join(weights, COLUMN).select("sample_id", "read_id", name.alias("feature"), (sure * F.col("weight")).alias("value"))
+    rows = number(bases.where("base != 'N'").withColumn("sure", sure), "sure", "the encoder's function").join(weights, COLUMN)
+    return rows.select("sample_id", "read_id", name.alias("feature"), (F.col("sure") * F.col("weight")).alias("value"))
 
 
 def scale_01(rows: DataFrame, value: str, group: str = "sample_id", constant: float = 1.0) -> DataFrame:

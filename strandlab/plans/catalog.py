@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return put
 
 
-from strandlab.plans import columns, distances, groups, kernels_queries, reads  # noqa: E402, F401
+from strandlab.plans import columns, distances, groups, kernels_queries, reads, sweeps  # noqa: E402, F401

@@ -2,52 +2,78 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlab.config import DEFAULT, Config
 from strandlab.operators import consensus, masking, quality, samples, variants
 from strandlab.plans import fixture
 from strandlab.sources import files
+from strandlab.stages import cut
 
+ERROR = "sample_id string, stage string, message string"
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder: later stages get a short plan and don't repeat its kernels."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandlab-"))
-    return df.checkpoint()
+
+def too_few(sizes: DataFrame, least: int, stage: str) -> DataFrame:
+    """Errors (sample_id, stage, message) of the samples of fewer than ``least`` reads. ``sizes``: (sample_id, n)."""
+    return sizes.where(F.col("n") < least).select("sample_id", F.lit(stage).alias("stage"), F.concat(F.lit("too few reads: "), F.col("n").cast("string")).alias("message"))
+
+
+def sizes_of(reads: DataFrame) -> DataFrame:
+    return reads.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def succeeded(rows: DataFrame, errors: DataFrame) -> DataFrame:
+    """``rows`` of the samples that no stage has stopped."""
+    return rows.join(errors.select("sample_id").distinct(), "sample_id", "left_anti")
+
+
+def split_errors(rows: DataFrame, stage: str) -> tuple[DataFrame, DataFrame]:
+    """A guarded kernel's results, and its failures as errors. Rows without the column ``error`` have none."""
+    if "error" not in rows.columns:
+        return rows, rows.sparkSession.createDataFrame([], ERROR)
+    failed = rows.where("error is not null").select("sample_id", F.lit(stage).alias("stage"), F.col("error").alias("message"))
+    return rows.where("error is null").drop("error"), failed
 
 
 @dataclass
 class Aligned:
     reads: DataFrame
+    filter_report: DataFrame
     report: DataFrame
     errors: DataFrame
 
 
-def align(raw: DataFrame, cfg: Config = DEFAULT, aligner: Callable[[DataFrame], DataFrame] = samples.align) -> Aligned:
-    """Raw reads (sample_id, read_id, read_ord, seq, qual) to aligned ones, with a report per sample.
+def align(raw: DataFrame, cfg: Config = DEFAULT, aligner: Callable[[DataFrame], DataFrame] = samples.guarded_align, mad: bool = True) -> Aligned:
+    """Raw reads (sample_id, read_id, read_ord, seq, qual) to aligned ones, with reports per sample.
 
-    ``aligner`` makes (sample_id, read_id, read_ord, aln_seq) of them. A sample with a bad read, with too few reads of
-    enough quality or with ids that repeat up to the first space is a row in ``errors``; the others go on.
+    Reads of low accuracy go first (``mad``), then those of low mean quality; what is left is aligned, so that discarded reads
+    shape neither. ``aligner`` makes (sample_id, read_id, read_ord, aln_seq) of them, and may tell failures in a column
+    ``error``. A sample with a bad read, with too few reads, with ids that repeat up to the first space or whose alignment fails is a
+    row in ``errors``; the others go on.
     """
     bad = files.invalid_reads(raw).groupBy("sample_id", "stage").agg(F.min("message").alias("message"))
     good = raw.join(bad.select("sample_id"), "sample_id", "left_anti")
-    good = cut(good.withColumn("read_id", F.substring_index("read_id", " ", 1)).withColumn("avg_q", quality.mean_q(F.col("qual"))))
-    kept = quality.min_q_guard(good, cfg)
+    good = cut(good.withColumns({"acc": quality.accuracy(F.col("qual")), "avg_q": quality.mean_q(F.col("qual"))}))
+    acc = good.select("sample_id", F.col("read_ord").alias("read_id"), "acc")
+    report = quality.filter_report(acc, cfg)
+    small = too_few(sizes_of(good), 6, "quality filter") if mad else raw.sparkSession.createDataFrame([], ERROR)
+    solid = good.join(quality.mad_filter(acc, cfg).select("sample_id", F.col("read_id").alias("read_ord")), ["sample_id", "read_ord"], "left_semi") if mad else good
+    solid = solid.withColumn("read_id", F.substring_index("read_id", " ", 1))
+    kept = quality.min_q_guard(solid, cfg)
     twice = quality.duplicate_ids(kept).select("sample_id").distinct()
-    few = good.select("sample_id").distinct().join(kept.select("sample_id").distinct(), "sample_id", "left_anti")
+    few = solid.select("sample_id").distinct().join(kept.select("sample_id").distinct(), "sample_id", "left_anti")
     kept = cut(kept.join(twice, "sample_id", "left_anti"))
     stopped = [df.select("sample_id", F.lit("align").alias("stage"), F.lit(why).alias("message")) for df, why in ((few, "too few reads of enough quality"), (twice, "ids repeat"))]
-    out = aligner(kept).join(kept.select("sample_id", "read_id", "qual", "avg_q"), ["sample_id", "read_id"])
+    out, failed = split_errors(cut(aligner(kept)), "align")
+    out = out.join(kept.select("sample_id", "read_id", "qual", "avg_q"), ["sample_id", "read_id"])
     out = cut(out.join(quality.regap_quality(out), ["sample_id", "read_id"]))
-    report = quality.align_report(out.drop("avg_q"), out.select("sample_id", "read_id", "avg_q"))
-    return Aligned(out.select("sample_id", "read_id", "read_ord", "aln_seq", "aln_qual"), report, bad.union(stopped[0]).union(stopped[1]))
+    of_alignment = quality.align_report(out.drop("avg_q"), out.select("sample_id", "read_id", "avg_q"))
+    errors = bad.unionAll(small).unionAll(stopped[0]).unionAll(stopped[1]).unionAll(failed)
+    return Aligned(out.select("sample_id", "read_id", "read_ord", "aln_seq", "aln_qual"), report, of_alignment, errors)
 
 
 @dataclass
@@ -55,28 +81,53 @@ class Results:
     filtered: DataFrame
     features: DataFrame
     clusters: DataFrame
+    ambiguity: DataFrame
     consensus: DataFrame
     merged: DataFrame
+    pooled: DataFrame
     summary: DataFrame
     errors: DataFrame
+    filter_report: DataFrame | None = None
+    align_report: DataFrame | None = None
+    removal_report: DataFrame | None = None
 
 
-def run(reads: DataFrame, cfg: Config = DEFAULT) -> Results:
+def trimmed(bases: DataFrame, mask: DataFrame) -> DataFrame:
+    """Long bases of the columns that stay, numbered anew, with aln_pos, their place in the whole alignment."""
+    line = Window.partitionBy("sample_id").orderBy("pos")
+    keep = mask.where("not masked").select("sample_id", F.col("pos").alias("aln_pos"), F.row_number().over(line).alias("pos"))
+    return bases.withColumnRenamed("pos", "aln_pos").join(keep, ["sample_id", "aln_pos"])
+
+
+def run(reads: DataFrame, cfg: Config = DEFAULT, mad: bool = True) -> Results:
     """Denoise aligned reads (sample_id, read_id, read_ord, aln_seq, aln_qual); clustering sees the trimmed columns,
-    consensus the untrimmed ones. A sample that a guard stops is a row in ``errors``; the others go on."""
+    consensus the untrimmed ones. A sample that a guard or an exception stops is a row in ``errors``; the others go on.
+
+    ``mad``: filter reads by accuracy first, as reads that come aligned have not been. Positions of ``features`` count the
+    trimmed columns, ``aln_pos`` the whole alignment's.
+    """
     reads = reads.select("sample_id", "read_id", "read_ord", "aln_seq", "aln_qual").withColumn("truth", F.lit(None).cast("string"))
-    solid = fixture.bases(reads).where("base != '-'")
-    kept = quality.mad_filter(quality.read_accuracy(solid), cfg).select("sample_id", "read_id")
-    filtered = cut(reads.join(kept, ["sample_id", "read_id"], "left_semi"))
+    errors = reads.sparkSession.createDataFrame([], ERROR)
+    filtered = reads
+    if mad:
+        errors = errors.unionAll(too_few(sizes_of(reads), 6, "quality filter"))
+        kept = quality.mad_filter(reads.select("sample_id", "read_id", quality.accuracy(F.col("aln_qual"), F.col("aln_seq")).alias("acc")), cfg).select("sample_id", "read_id")
+        filtered = reads.join(kept, ["sample_id", "read_id"], "left_semi")
+    filtered = cut(filtered)
+    errors = cut(errors.unionAll(too_few(sizes_of(filtered), samples.MIN_READS, "clustering")))
+    filtered = succeeded(filtered, errors)
     bases = fixture.bases(filtered)
-    mask = masking.column_mask(bases, cfg.min_len, cfg.homopolymer_threshold, cfg.gap_fraction_cutoff, ((2, cfg.di_rep), (3, cfg.tri_rep)) if cfg.use_di_tri else ())
-    keep = mask.where("not masked").select("sample_id", "pos")
-    stats = variants.column_stats(variants.column_counts(bases.join(keep, ["sample_id", "pos"], "left_semi")))
-    n = filtered.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_total"))
-    features = cut(variants.feature_weights(variants.rare_variants(stats, cfg), n))
-    clusters = cut(samples.clusters(filtered, features, cfg))
+    mask = cut(masking.column_mask(bases, cfg.min_len, cfg.homopolymer_threshold, cfg.gap_fraction_cutoff, ((2, cfg.di_rep), (3, cfg.tri_rep)) if cfg.use_di_tri else ()))
+    left = trimmed(bases, mask)
+    strings = cut(masking.restring(left).join(filtered.select("sample_id", "read_id", "read_ord"), ["sample_id", "read_id"]))
+    bare = filtered.select("sample_id").distinct().join(strings.select("sample_id").distinct(), "sample_id", "left_anti").select("sample_id", F.lit("clustering").alias("stage"), F.lit("no column left").alias("message"))
+    stats = variants.column_stats(variants.column_counts(left, "aln_pos"))
+    features = cut(variants.feature_weights(variants.rare_variants(stats, cfg), sizes_of(filtered).withColumnRenamed("n", "n_total")).join(stats.select("sample_id", "pos", "aln_pos"), ["sample_id", "pos"]))
+    clusters, failed = split_errors(cut(samples.guarded_clusters(strings, features, cfg)), "clustering")
+    ambiguity = variants.ambiguity_table(left, clusters.select("sample_id", "read_id", F.col("cluster_id").cast("string").alias("cluster")), cfg)
     inliers = bases.join(clusters.where("is_outlier = 0 and cluster_id > 0").select("sample_id", "read_id", F.col("cluster_id").cast("string").alias("cluster")), ["sample_id", "read_id"])
     cons = cut(consensus.consensus(inliers, cfg))
+    none = clusters.select("sample_id").distinct().join(cons.select("sample_id").distinct(), "sample_id", "left_anti").select("sample_id", F.lit("consensus").alias("stage"), F.lit("no cluster has enough reads").alias("message"))
     d = cut(consensus.merge_distances(consensus.trimmed(cons, consensus.merge_mask(cons))))
     groups = consensus.single_linkage(cons, d, cfg.max_pairwise_distance)
     first = groups.groupBy("sample_id", "group").agg(F.min("cluster").alias("seed"))
@@ -85,29 +136,49 @@ def run(reads: DataFrame, cfg: Config = DEFAULT) -> Results:
     merged = cut(samples.guarded_merge(groups.select("sample_id", "cluster", "group", "d"), consensus.ballots(inliers, cfg), cfg))
     back = merged.select("sample_id", "merged_id", F.explode("members").alias("cluster"))
     pooled = inliers.join(back, ["sample_id", "cluster"]).drop("cluster").withColumnRenamed("merged_id", "cluster")
-    final = cut(consensus.consensus(pooled, cfg, mask=cfg.hp_mask_in_merge))
-    strings = filtered.join(pooled.select("sample_id", "read_id", "cluster").distinct(), ["sample_id", "read_id"])
-    summary = consensus.label(consensus.divergence(strings, final, cfg), single=True)
-    sizes = reads.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
-    errors = sizes.join(clusters.select("sample_id").distinct(), "sample_id", "left_anti").select("sample_id", F.lit("quality filter").alias("stage"), F.concat(F.lit("too few reads: "), "n").alias("message"))
-    return Results(filtered, features, clusters, cons, merged, summary, errors)
-
-
-def run_files(spark: SparkSession, path: str, cfg: Config = DEFAULT, done: DataFrame | None = None) -> Results:
-    """Denoise the FASTQ files at ``path``, a sample each, but for samples in ``done``; errors of all stages together."""
-    raw = files.read_fastq(spark, path, cfg=cfg)
-    start = align(cut(files.pending(raw, done) if done is not None else raw), cfg)
-    out = run(start.reads, cfg)
-    return replace(out, errors=start.errors.union(out.errors))
+    members = cut(filtered.join(pooled.select("sample_id", "read_id", "cluster").distinct(), ["sample_id", "read_id"]))
+    # a sample's only consensus passes as the first pass made it, masked and under its header; others are called anew
+    single = Window.partitionBy("sample_id")
+    only = cons.withColumn("n", F.count(F.lit(1)).over(single)).where("n = 1").drop("n")
+    final = consensus.consensus(pooled.join(only.select("sample_id"), "sample_id", "left_anti"), cfg, mask=cfg.hp_mask_in_merge)
+    final = cut(final.select("sample_id", "cluster", "seq", "n_seq", F.lit(False).alias("only")).unionAll(only.select("sample_id", "cluster", "seq", "n_seq", F.lit(True))))
+    summary = consensus.divergence(members, final, cfg).join(final.select("sample_id", "cluster", "only"), ["sample_id", "cluster"])
+    summary = consensus.label(summary, single=F.col("only")).drop("only")
+    # where nothing merges, the first pass's consensuses stand under their numbers, without statistics
+    rest = cons.join(merged.select("sample_id").distinct(), "sample_id", "left_anti")
+    summary = summary.unionByName(rest.select("sample_id", "cluster", "seq", "n_seq", F.concat(F.lit("CL"), "cluster").alias("header")), allowMissingColumns=True)
+    errors = errors.unionAll(bare).unionAll(failed).unionAll(none)
+    return Results(filtered, features, clusters, ambiguity, cons, merged, members, summary, errors, removal_report=masking.removal_report(mask))
+
+
+def run_files(spark: SparkSession, path: str, cfg: Config = DEFAULT, done: DataFrame | None = None, aligner: Callable[[DataFrame], DataFrame] = samples.guarded_align, mode: str = "fastq") -> Results:
+    """Denoise the files at ``path``, a sample each, but for samples in ``done``; errors and reports of all stages together.
+
+    ``mode`` fasta: sequences without qualities, which get a constant one and aren't filtered by accuracy.
+    """
+    if mode == "fasta":
+        rows = files.read_fasta(spark, path, cfg=cfg).select("sample_id", F.col("header").alias("read_id"), "read_ord", F.col("seq").alias("aln_seq"))
+        raw = quality.fasta_to_reads(rows, cfg, "read_ord")
+    else:
+        raw = files.read_fastq(spark, path, cfg=cfg)
+    start = align(cut(files.pending(raw, done) if done is not None else raw), cfg, aligner, mad=mode != "fasta")
+    out = run(start.reads, cfg, mad=False)
+    return replace(out, errors=start.errors.unionAll(out.errors), filter_report=start.filter_report, align_report=start.report)
 
 
 def write(out: Results, path: str) -> None:
-    """Reads per cluster (outliers marked in their ids), consensuses, final sequences, summary and errors under ``path``."""
+    """Reads per cluster (outliers marked in their ids), consensuses, merged reads, final sequences, and tables of labels, features,
+    ambiguity, reports, summary and errors under ``path``."""
     reads = out.filtered.join(out.clusters.where("cluster_id > 0"), ["sample_id", "read_id"]).repartition("sample_id", "cluster_id")
     name = F.concat(F.lit(">"), "read_id", F.when(F.col("is_outlier") > 0, "_OUTLIER").otherwise(""))
     rows = reads.sortWithinPartitions("sample_id", "cluster_id", "is_outlier", "read_ord").select("sample_id", "cluster_id", F.concat(name, F.lit("\n"), "aln_seq").alias("value"))
     rows.write.mode("overwrite").partitionBy("sample_id", "cluster_id").text(f"{path}/clusters")
     files.write_fasta(out.consensus.withColumn("name", F.concat("sample_id", F.lit("__CL"), "cluster")), f"{path}/consensus")
+    merged = out.pooled.repartition("sample_id", "cluster").sortWithinPartitions("sample_id", "cluster", "read_ord")
+    merged.select("sample_id", "cluster", F.concat(F.lit(">"), "read_id", F.lit("\n"), "aln_seq").alias("value")).write.mode("overwrite").partitionBy("sample_id", "cluster").text(f"{path}/merged")
+    for name in ("clusters", "features", "ambiguity", "filter_report", "align_report", "removal_report"):
+        if (table := getattr(out, name)) is not None:
+            table.write.mode("overwrite").parquet(f"{path}/tables/{name}")
     summary = cut(out.summary)
     files.write_fasta(consensus.final_results(summary), f"{path}/final")
     summary.write.mode("overwrite").parquet(f"{path}/summary")

@@ -1,7 +1,6 @@
-"""FASTQ and FASTA files as DataFrames and back. One file is one sample, read by one task; gzip is decoded by Spark.
+"""FASTQ and FASTA files as DataFrames and back. One file is one sample; files are read in byte ranges (``ranges``).
 
-Files are read by Spark's text source, so any store it reaches will do. Records go by position, never by prefix: a
-quality line may begin with '@'.
+Files in stores that tasks can't read ranges of are read whole, one by one, by Spark's text source; gzip is decoded either way.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlab.config import DEFAULT, Config
+from strandlab.sources import ranges
 
 
 def sample_of(path: Column, cfg: Config = DEFAULT) -> Column:
@@ -23,8 +23,29 @@ def _texts(spark: SparkSession, path: str, glob: str, cfg: Config) -> DataFrame:
     return files.select(sample_of(F.col("_metadata.file_path"), cfg).alias("sample_id"), F.col("_metadata.file_path").alias("file"), F.replace("value", F.lit("\r"), F.lit("")).alias("value"))
 
 
-def read_fastq(spark: SparkSession, path: str, glob: str = "*.{fastq,fq,fastq.gz,fq.gz}", cfg: Config = DEFAULT) -> DataFrame:
+def splittable(spark: SparkSession, path: str) -> bool:
+    """Whether tasks can read byte ranges of ``path``; one without a scheme is in Hadoop's default store."""
+    scheme = path.partition("://")[0] if "://" in path else spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").partition(":")[0]
+    return scheme in ranges.SCHEMES
+
+
+def read_fastq(spark: SparkSession, path: str, glob: str = "*.{fastq,fq,fastq.gz,fq.gz}", cfg: Config = DEFAULT, split: int = ranges.SPLIT) -> DataFrame:
     """(sample_id, read_id, read_ord, seq, qual); sequences in upper case."""
+    if not splittable(spark, path):
+        return _whole_fastq(spark, path, glob, cfg)
+    rows = ranges.scan(spark, path, glob, "fastq", split)
+    return rows.select(sample_of(F.col("path"), cfg).alias("sample_id"), F.col("name").alias("read_id"), "read_ord", "seq", "qual")
+
+
+def read_fasta(spark: SparkSession, path: str, glob: str = "*.{fasta,fa,fasta.gz,fa.gz}", cfg: Config = DEFAULT, split: int = ranges.SPLIT) -> DataFrame:
+    """(sample_id, header, read_ord, seq); sequences may go over several lines."""
+    if not splittable(spark, path):
+        return _whole_fasta(spark, path, glob, cfg)
+    rows = ranges.scan(spark, path, glob, "fasta", split)
+    return rows.select(sample_of(F.col("path"), cfg).alias("sample_id"), F.col("name").alias("header"), "read_ord", "seq")
+
+
+def _whole_fastq(spark: SparkSession, path: str, glob: str, cfg: Config) -> DataFrame:
     lines = _texts(spark, path, glob, cfg).withColumn("lines", F.split(F.rtrim("value"), "\n"))
     lines = lines.where(F.length(F.trim("value")) > 0)
     record = F.explode(F.sequence(F.lit(0), (F.size("lines") / 4).cast("int") - 1))
@@ -33,8 +54,7 @@ def read_fastq(spark: SparkSession, path: str, glob: str = "*.{fastq,fq,fastq.gz
     return rows.select("sample_id", F.substr(line(0), F.lit(2)).alias("read_id"), F.col("i").cast("long").alias("read_ord"), F.upper(line(1)).alias("seq"), line(3).alias("qual"))
 
 
-def read_fasta(spark: SparkSession, path: str, glob: str = "*.{fasta,fa,fasta.gz,fa.gz}", cfg: Config = DEFAULT) -> DataFrame:
-    """(sample_id, header, read_ord, seq); sequences may go over several lines."""
+def _whole_fasta(spark: SparkSession, path: str, glob: str, cfg: Config) -> DataFrame:
     parts = F.filter(F.split(F.concat(F.lit("\n"), "value"), "\n>"), lambda x: F.length(F.trim(x)) > 0)
     rows = _texts(spark, path, glob, cfg).select("sample_id", F.posexplode(parts).alias("i", "record"))
     seq = F.replace(F.regexp_replace("record", r"^[^\n]*\n?", ""), F.lit("\n"), F.lit(""))
