@@ -12,6 +12,7 @@ from strandlab.config import DEFAULT, Config
 from strandlab.operators import consensus, masking, quality, samples, variants
 from strandlab.plans import fixture
 from strandlab.sources import files
+from strandlab.sources.ledger import Ledger
 from strandlab.stages import cut
 
 ERROR = "sample_id string, stage string, message string"
@@ -99,13 +100,28 @@ def trimmed(bases: DataFrame, mask: DataFrame) -> DataFrame:
     return bases.withColumnRenamed("pos", "aln_pos").join(keep, ["sample_id", "aln_pos"])
 
 
-def run(reads: DataFrame, cfg: Config = DEFAULT, mad: bool = True) -> Results:
-    """Denoise aligned reads (sample_id, read_id, read_ord, aln_seq, aln_qual); clustering sees the trimmed columns,
-    consensus the untrimmed ones. A sample that a guard or an exception stops is a row in ``errors``; the others go on.
+#: The parameters that each stage's results depend on, besides its input.
+DEPENDS = {
+    "align": ("max_removal_fraction", "mad_threshold", "min_avg_qual"),
+    "cluster": (
+        "min_len", "homopolymer_threshold", "gap_fraction_cutoff", "di_rep", "tri_rep", "use_di_tri", "window", "max_gap_frac", "min_frac", "min_reads", "fdr", "ambig_thr", "min_depth",
+        "floor_kmer", "lambda_min", "lambda_max", "grid", "extra_min_pts", "weights", "selection_epsilon", "outlier_threshold",
+    ),
+    "consensus": ("min_cluster_size", "iupac_min_count", "iupac_min_prop", "phred_threshold", "hp_len_consensus", "hp_threshold_consensus", "hp_gap_consensus"),
+    "merge": (
+        "min_cluster_size", "iupac_min_count", "iupac_min_prop", "phred_threshold", "hp_len_consensus", "hp_threshold_consensus", "hp_gap_consensus", "max_pairs_reads", "max_pairwise_distance", "iupac_guard",
+        "iupac_delta_abs", "iupac_delta_rel", "hp_mask_in_merge", "drop_rejected",
+    ),
+}
 
-    ``mad``: filter reads by accuracy first, as reads that come aligned have not been. Positions of ``features`` count the
-    trimmed columns, ``aln_pos`` the whole alignment's.
-    """
+
+def params(stage: str, cfg: Config, **more: object) -> dict:
+    value = lambda name: getattr(cfg, name)() if callable(getattr(cfg, name)) else getattr(cfg, name)
+    return {name: value(name) for name in DEPENDS[stage]} | more
+
+
+def cluster(reads: DataFrame, cfg: Config = DEFAULT, mad: bool = True) -> dict[str, DataFrame]:
+    """Aligned reads to filtered reads, features, clusters, ambiguity, removal_report and errors."""
     reads = reads.select("sample_id", "read_id", "read_ord", "aln_seq", "aln_qual").withColumn("truth", F.lit(None).cast("string"))
     errors = reads.sparkSession.createDataFrame([], ERROR)
     filtered = reads
@@ -125,18 +141,33 @@ def run(reads: DataFrame, cfg: Config = DEFAULT, mad: bool = True) -> Results:
     features = cut(variants.feature_weights(variants.rare_variants(stats, cfg), sizes_of(filtered).withColumnRenamed("n", "n_total")).join(stats.select("sample_id", "pos", "aln_pos"), ["sample_id", "pos"]))
     clusters, failed = split_errors(cut(samples.guarded_clusters(strings, features, cfg)), "clustering")
     ambiguity = variants.ambiguity_table(left, clusters.select("sample_id", "read_id", F.col("cluster_id").cast("string").alias("cluster")), cfg)
-    inliers = bases.join(clusters.where("is_outlier = 0 and cluster_id > 0").select("sample_id", "read_id", F.col("cluster_id").cast("string").alias("cluster")), ["sample_id", "read_id"])
-    cons = cut(consensus.consensus(inliers, cfg))
-    none = clusters.select("sample_id").distinct().join(cons.select("sample_id").distinct(), "sample_id", "left_anti").select("sample_id", F.lit("consensus").alias("stage"), F.lit("no cluster has enough reads").alias("message"))
+    return {"filtered": filtered, "features": features, "clusters": clusters, "ambiguity": ambiguity, "removal_report": masking.removal_report(mask), "errors": errors.unionAll(bare).unionAll(failed)}
+
+
+def inliers(labelled: DataFrame) -> DataFrame:
+    """Long bases, of the whole alignment, of the reads that count for their cluster."""
+    return fixture.bases(labelled.where("is_outlier = 0 and cluster_id > 0").withColumn("truth", F.col("cluster_id").cast("string"))).withColumnRenamed("truth", "cluster")
+
+
+def call(labelled: DataFrame, cfg: Config = DEFAULT) -> dict[str, DataFrame]:
+    """Filtered reads with their labels to first-pass consensuses and errors."""
+    cons = cut(consensus.consensus(inliers(labelled), cfg))
+    none = labelled.select("sample_id").distinct().join(cons.select("sample_id").distinct(), "sample_id", "left_anti")
+    return {"consensus": cons, "errors": none.select("sample_id", F.lit("consensus").alias("stage"), F.lit("no cluster has enough reads").alias("message"))}
+
+
+def merge(labelled: DataFrame, cons: DataFrame, cfg: Config = DEFAULT) -> dict[str, DataFrame]:
+    """Labelled reads and first-pass consensuses to merged groups, their pooled reads, and the summary."""
+    solid = inliers(labelled)
     d = cut(consensus.merge_distances(consensus.trimmed(cons, consensus.merge_mask(cons))))
     groups = consensus.single_linkage(cons, d, cfg.max_pairwise_distance)
     first = groups.groupBy("sample_id", "group").agg(F.min("cluster").alias("seed"))
     both = d.select("sample_id", F.col("ord_i").alias("seed"), F.col("ord_j").alias("cluster"), "d")
     groups = groups.join(first, ["sample_id", "group"]).join(both, ["sample_id", "seed", "cluster"], "left").fillna(0, ["d"])
-    merged = cut(samples.guarded_merge(groups.select("sample_id", "cluster", "group", "d"), consensus.ballots(inliers, cfg), cfg))
+    merged = cut(samples.guarded_merge(groups.select("sample_id", "cluster", "group", "d"), consensus.ballots(solid, cfg), cfg))
     back = merged.select("sample_id", "merged_id", F.explode("members").alias("cluster"))
-    pooled = inliers.join(back, ["sample_id", "cluster"]).drop("cluster").withColumnRenamed("merged_id", "cluster")
-    members = cut(filtered.join(pooled.select("sample_id", "read_id", "cluster").distinct(), ["sample_id", "read_id"]))
+    pooled = solid.join(back, ["sample_id", "cluster"]).drop("cluster").withColumnRenamed("merged_id", "cluster")
+    members = cut(labelled.drop("cluster_id", "is_outlier").join(pooled.select("sample_id", "read_id", "cluster").distinct(), ["sample_id", "read_id"]))
     # a sample's only consensus passes as the first pass made it, masked and under its header; others are called anew
     single = Window.partitionBy("sample_id")
     only = cons.withColumn("n", F.count(F.lit(1)).over(single)).where("n = 1").drop("n")
@@ -147,23 +178,47 @@ def run(reads: DataFrame, cfg: Config = DEFAULT, mad: bool = True) -> Results:
     # where nothing merges, the first pass's consensuses stand under their numbers, without statistics
     rest = cons.join(merged.select("sample_id").distinct(), "sample_id", "left_anti")
     summary = summary.unionByName(rest.select("sample_id", "cluster", "seq", "n_seq", F.concat(F.lit("CL"), "cluster").alias("header")), allowMissingColumns=True)
-    errors = errors.unionAll(bare).unionAll(failed).unionAll(none)
-    return Results(filtered, features, clusters, ambiguity, cons, merged, members, summary, errors, removal_report=masking.removal_report(mask))
+    return {"merged": merged, "pooled": members, "summary": summary}
 
 
-def run_files(spark: SparkSession, path: str, cfg: Config = DEFAULT, done: DataFrame | None = None, aligner: Callable[[DataFrame], DataFrame] = samples.guarded_align, mode: str = "fastq") -> Results:
+def run(reads: DataFrame, cfg: Config = DEFAULT, mad: bool = True, ledger: Ledger | None = None) -> Results:
+    """Denoise aligned reads (sample_id, read_id, read_ord, aln_seq, aln_qual); clustering sees the trimmed columns,
+    consensus the untrimmed ones. A sample that a guard or an exception stops is a row in ``errors``; the others go on.
+
+    ``mad``: filter reads by accuracy first, as reads that come aligned have not been. Positions of ``features`` count the
+    trimmed columns, ``aln_pos`` the whole alignment's. With ``ledger``, stages keep what they did for a sample and do what is left.
+    """
+    do = ledger.run if ledger else lambda stage, inputs, params, work: work(inputs)
+    one = do("cluster", reads, params("cluster", cfg, mad=mad) | (params("align", cfg) if mad else {}), lambda r: cluster(r, cfg, mad))
+    labelled = cut(one["filtered"].drop("truth").join(one["clusters"], ["sample_id", "read_id"]))
+    two = do("consensus", labelled, params("consensus", cfg), lambda r: call(r, cfg))
+    # the merge depends on the reads as well as on their consensuses: the latter go along in the fingerprint
+    known = two["consensus"].groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("cluster", "seq", "n_seq"))).alias("held"))
+    three = do("merge", labelled.join(known, "sample_id"), params("merge", cfg), lambda r: merge(r.drop("held"), r.select("sample_id", "held").distinct().select("sample_id", F.inline("held")), cfg))
+    errors = one.pop("errors").unionAll(two["errors"])
+    return Results(**one, consensus=two["consensus"], **three, errors=errors)
+
+
+def run_files(spark: SparkSession, path: str, cfg: Config = DEFAULT, done: DataFrame | None = None, aligner: Callable[[DataFrame], DataFrame] = samples.guarded_align, mode: str = "fastq", ledger: Ledger | None = None) -> Results:
     """Denoise the files at ``path``, a sample each, but for samples in ``done``; errors and reports of all stages together.
 
-    ``mode`` fasta: sequences without qualities, which get a constant one and aren't filtered by accuracy.
+    ``mode`` fasta: sequences without qualities, which get a constant one and aren't filtered by accuracy. With ``ledger``, a run
+    goes on after the last stage that an earlier one finished for a sample, as long as its reads and parameters are the same.
     """
     if mode == "fasta":
         rows = files.read_fasta(spark, path, cfg=cfg).select("sample_id", F.col("header").alias("read_id"), "read_ord", F.col("seq").alias("aln_seq"))
         raw = quality.fasta_to_reads(rows, cfg, "read_ord")
     else:
         raw = files.read_fastq(spark, path, cfg=cfg)
-    start = align(cut(files.pending(raw, done) if done is not None else raw), cfg, aligner, mad=mode != "fasta")
-    out = run(start.reads, cfg, mad=False)
-    return replace(out, errors=start.errors.unionAll(out.errors), filter_report=start.filter_report, align_report=start.report)
+    raw = cut(files.pending(raw, done) if done is not None else raw)
+
+    def work(reads: DataFrame) -> dict[str, DataFrame]:
+        out = align(reads, cfg, aligner, mad=mode != "fasta")
+        return {"reads": out.reads, "filter_report": out.filter_report, "report": out.report, "errors": out.errors}
+
+    start = ledger.run("align", raw, params("align", cfg, mode=mode), work) if ledger else work(raw)
+    out = run(start["reads"], cfg, mad=False, ledger=ledger)
+    return replace(out, errors=start["errors"].unionAll(out.errors), filter_report=start["filter_report"], align_report=start["report"])
 
 
 def write(out: Results, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.operators import forest, hybrid, replay
+from strandlab.operators import forest, hybrid, linkage, replay, wide
 from strandlab.operators import quality as q
 from strandlab.operators import variants as v
 from strandlab.plans import columns, denoise, distances, fixture
@@ -144,9 +144,9 @@ def guard_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ambiguity_table",
     f"""WITH {fixture.sql(8)}, lb AS (SELECT DISTINCT sample_id, read_id, CASE truth WHEN 'F' THEN '1' WHEN 'O' THEN '2' ELSE '0' END AS cluster FROM bases),
     kp AS (SELECT sample_id, pos FROM bases GROUP BY ALL HAVING avg((base = '-')::INT) <= 0.9),
-    ct AS (SELECT sample_id, cluster, pos, list_reverse_sort([count(*) FILTER (base = 'A'), count(*) FILTER (base = 'C'), count(*) FILTER (base = 'G'), count(*) FILTER (base = 'T')]) AS n FROM bases JOIN lb USING (sample_id, read_id) JOIN kp USING (sample_id, pos) WHERE cluster <> '0' GROUP BY ALL),
+    ct AS (SELECT sample_id, cluster, pos, list_sort([count(*) FILTER (base = 'A'), count(*) FILTER (base = 'C'), count(*) FILTER (base = 'G'), count(*) FILTER (base = 'T')], 'DESC') AS n FROM bases JOIN lb USING (sample_id, read_id) JOIN kp USING (sample_id, pos) WHERE cluster <> '0' GROUP BY ALL),
     st AS (SELECT sample_id, cluster, count(*) FILTER (list_sum(n) >= 10 AND n[2] >= 5 AND n[2] / list_sum(n) >= 0.25) AS ambig_sites FROM ct GROUP BY ALL)
-    SELECT sample_id, cluster, count(*) AS n_reads, CASE WHEN cluster <> '0' THEN any_value(ambig_sites) END AS ambig_sites FROM lb LEFT JOIN st USING (sample_id, cluster) GROUP BY ALL""",
+    SELECT sample_id, cluster, count(*) AS n_reads, CASE WHEN cluster <> '0' THEN any_value(ambig_sites) END AS ambig_sites FROM lb LEFT JOIN st USING (sample_id, cluster) GROUP BY sample_id, cluster""",
 )
 def ambiguity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of planted clusters: orders in process count as noise."""
@@ -162,3 +162,56 @@ def ambiguity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mean_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With another aggregate than the median, and a narrower window."""
     return r6(v.background(columns.stats(spark, sf_dir), v.Config(window=20), F.avg).select("sample_id", "pos", "bg"), "bg")
+
+
+PROBS = ", ".join(str((k / linkage.STEPS) ** linkage.SKEW) for k in range(linkage.STEPS + 1))
+
+
+@query(
+    "step_bounds",
+    f"""WITH m AS (SELECT (o_custkey % 8)::VARCHAR AS sample_id, o_orderkey AS ord, floor(o_totalprice / 50)::DOUBLE AS height FROM orders),
+    r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY height, ord) >= greatest(7, 0.1 * (count(*) OVER (PARTITION BY sample_id) + 1)) AS late FROM m),
+    o AS (SELECT sample_id, max(height) AS top, count(*) FILTER (late) AS n_late, quantile_cont(height, [{PROBS}]) FILTER (late) AS q FROM r GROUP BY ALL),
+    u AS (SELECT sample_id, top, n_late, unnest(range(len(q))) AS k, unnest(q) AS height FROM o),
+    a AS (SELECT *, height - lag(height) OVER (PARTITION BY sample_id ORDER BY k) > 0.01 * top AS apart FROM u),
+    t AS (SELECT sample_id, k, height FROM a WHERE apart AND n_late >= 2),
+    b AS (SELECT * FROM t UNION ALL SELECT sample_id, 1, top FROM o WHERE sample_id NOT IN (SELECT sample_id FROM t))
+    SELECT sample_id, (row_number() OVER (PARTITION BY sample_id ORDER BY k))::INT AS step, round(height, 6) AS height FROM b""",
+)
+def step_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of merge heights made from the orders' prices, at a width of 700 columns."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    merges = o.select((F.col("o_custkey") % 8).cast("string").alias("sample_id"), F.lit(0).alias("into"), F.col("o_orderkey").alias("ord"), F.floor(F.col("o_totalprice") / 50).cast("double").alias("height"))
+    shape = merges.groupBy("sample_id").agg((F.count(F.lit(1)) + 1).alias("n"), F.lit(700).alias("width"))
+    return r6(linkage.step_bounds(merges, shape), "height")
+
+
+@query(
+    "weight_accumulation",
+    """WITH s AS (SELECT p_brand AS sample_id, p_size AS step, p_partkey % 20 + 1 AS pos, max(p_retailprice) / 3000 AS score FROM part GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY sample_id, pos ORDER BY step) AS k FROM s),
+    w AS (SELECT sample_id, pos, sum(score / (50 * k)) AS w, count(*) AS hit_count FROM k GROUP BY ALL),
+    c AS (SELECT sample_id, pos, coalesce(w, 0) AS w, coalesce(hit_count, 0) AS hit_count FROM (SELECT DISTINCT sample_id FROM s) CROSS JOIN (SELECT unnest(range(1, 26)) AS pos) LEFT JOIN w USING (sample_id, pos)),
+    f AS (SELECT *, least(sum(w) OVER p / nullif(count(*) FILTER (w = 0) OVER p, 0), 0.1 * max(w) OVER p) AS fl FROM c WINDOW p AS (PARTITION BY sample_id))
+    SELECT sample_id, pos, round(1000 * CASE WHEN w > 0 THEN w ELSE fl END, 6) AS weight, hit_count FROM f""",
+)
+def weight_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of scores made from ``part``: brands are samples, sizes steps; five of 25 columns have no score."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    scores = p.groupBy(F.col("p_brand").alias("sample_id"), F.col("p_size").alias("step"), (F.col("p_partkey") % 20 + 1).alias("pos")).agg((F.max("p_retailprice") / 3000).alias("score"))
+    columns_ = scores.select("sample_id").distinct().select("sample_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(25).cast("long"))).alias("pos"))
+    return r6(linkage.accumulated(scores, columns_), "weight")
+
+
+@query("linkage_weights")
+def linkage_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column weights along average-linkage trees, as tables; of pools whose pairs all come to be rows."""
+    reads = fixture.aligned(spark, sf_dir, 64)
+    found = v.rare_variants(v.column_stats(v.column_counts(fixture.bases(reads))))
+    return r6(linkage.column_weights(fixture.bases(reads), found), "weight")
+
+
+@query("cluster_tables")
+def cluster_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers' reads clustered as tables by their Hamming distance."""
+    return wide.clusters(fixture.bases(distances.small(spark, sf_dir)), distances.hamming(spark, sf_dir)).labels
