@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.operators import forest, hybrid, linkage, replay, wide
+from strandlab.operators import forest, hybrid, linkage, replay
 from strandlab.operators import quality as q
 from strandlab.operators import variants as v
 from strandlab.plans import columns, denoise, distances, fixture
@@ -201,17 +201,3 @@ def weight_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = p.groupBy(F.col("p_brand").alias("sample_id"), F.col("p_size").alias("step"), (F.col("p_partkey") % 20 + 1).alias("pos")).agg((F.max("p_retailprice") / 3000).alias("score"))
     columns_ = scores.select("sample_id").distinct().select("sample_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(25).cast("long"))).alias("pos"))
     return r6(linkage.accumulated(scores, columns_), "weight")
-
-
-@query("linkage_weights")
-def linkage_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Column weights along average-linkage trees, as tables; of pools whose pairs all come to be rows."""
-    reads = fixture.aligned(spark, sf_dir, 64)
-    found = v.rare_variants(v.column_stats(v.column_counts(fixture.bases(reads))))
-    return r6(linkage.column_weights(fixture.bases(reads), found), "weight")
-
-
-@query("cluster_tables")
-def cluster_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The customers' reads clustered as tables by their Hamming distance."""
-    return wide.clusters(fixture.bases(distances.small(spark, sf_dir)), distances.hamming(spark, sf_dir)).labels
