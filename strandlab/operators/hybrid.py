@@ -2,7 +2,7 @@
 
 A pair's row is made once and kept (``cut``); the sample's measures are aggregates over pairs, reads and features. Ranks over all
 pairs of a sample come from counts of equal values and their running sums, so a large sample's pairs are never sorted in one
-task: only their distinct values are. Values are compared at twelve digits, since sums in another order differ beyond.
+task: only their distinct values are. Values are compared at nine digits, since sums in another order differ beyond.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandlab.operators.distances import PAIR, pairs
 from strandlab.stages import cut
 
-DIGITS = 12
+DIGITS = 9
 
 
 def normalised(weights: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ SHAPED = lambda m, r, c: f"CASE WHEN deficit > 0 THEN greatest(pow({r}, 1 / (1 +
     pp AS (SELECT two.sample_id, ord_i, ord_j, i.load AS load_i, j.load AS load_j, i.load + j.load - inter AS u, CASE WHEN i.load + j.load - inter > 0 THEN 1 - inter / (i.load + j.load - inter) ELSE 1 END AS jac,
       CASE WHEN i.nrm > 1e-13 AND j.nrm > 1e-13 THEN 1 - dot / sqrt(i.nrm * j.nrm) ELSE 1 END AS cos
       FROM two JOIN one i ON i.sample_id = two.sample_id AND i.read_ord = ord_i JOIN one j ON j.sample_id = two.sample_id AND j.read_ord = ord_j),
-    er AS (SELECT *, cume_dist() OVER (PARTITION BY sample_id ORDER BY round(jac, 12)) AS e FROM pp),
+    er AS (SELECT *, cume_dist() OVER (PARTITION BY sample_id ORDER BY round(jac, 9)) AS e FROM pp),
     dg AS (SELECT sample_id, quantile_cont(e, 0.5) * (1 - (quantile_cont(e, 0.75) - quantile_cont(e, 0.25))) AS deficit, avg(greatest(0, cos - jac)) AS fs, avg(greatest(0, jac - cos)) AS fj, count(*) AS len_ FROM er GROUP BY ALL),
     tq AS (SELECT sample_id, quantile_cont(u, 0.5) AS tau FROM (SELECT sample_id, u FROM pp UNION ALL SELECT sample_id, u FROM pp UNION ALL SELECT sample_id, load FROM one) WHERE u > 0 GROUP BY ALL),
     th AS (SELECT sample_id, quantile_cont(load, 0.25) AS thin FROM one WHERE load > 0 GROUP BY ALL),
@@ -103,7 +103,7 @@ SHAPED = lambda m, r, c: f"CASE WHEN deficit > 0 THEN greatest(pow({r}, 1 / (1 +
     x0 AS (SELECT pp.*, m1.* EXCLUDE (sample_id), u / (u + tau) AS g, sqrt(coalesce(least(1, load_i / thin), 0) * coalesce(least(1, load_j / thin), 0)) AS gate FROM pp JOIN m1 ON m1.sample_id = pp.sample_id),
     x1 AS (SELECT *, least(w_fus, 0.5 * adv * spread * (1 - g) * greatest(0, cos - jac) / greatest(1e-12, abs(cos) + abs(jac)) * (1 - w_pos)) AS boost FROM x0),
     x2 AS (SELECT *, (w_fus + w_pos) * jac + w_sig * cos AS v1, (0.5 + 0.5 * gate) * (g * ((w_fus - boost + w_pos) * jac + (w_sig + boost) * cos) + (1 - g) * (w_pos * jac + (1 - w_pos) * cos)) AS v2 FROM x1),
-    x3 AS (SELECT *, cume_dist() OVER (PARTITION BY sample_id ORDER BY round(v1, 12)) AS r1, cume_dist() OVER (PARTITION BY sample_id ORDER BY round(v2, 12)) AS r2 FROM x2),
+    x3 AS (SELECT *, cume_dist() OVER (PARTITION BY sample_id ORDER BY round(v1, 9)) AS r1, cume_dist() OVER (PARTITION BY sample_id ORDER BY round(v2, 9)) AS r2 FROM x2),
     x4 AS (SELECT sample_id, min(r1, 2) AS c1, min(r2, 2) AS c2 FROM x3 GROUP BY ALL),
     x5 AS (SELECT *, least(1, greatest(0, 0.5 * (1 - g) + 0.5 * (1 - gate))) AS alpha FROM x3 JOIN x4 USING (sample_id)),
     al AS (SELECT a.sample_id, a.read_ord AS ord_i, b.read_ord AS ord_j FROM reads a JOIN reads b ON a.sample_id = b.sample_id AND a.read_ord < b.read_ord)
