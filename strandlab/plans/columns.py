@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from strandlab.operators import masking as m
 from strandlab.operators import variants as v
+from strandlab.operators.cells import cells_at
 from strandlab.plans import fixture
 from strandlab.plans.catalog import query
-from strandlab.plans.reads import long, r6
+from strandlab.plans.reads import r6
+from strandlab.stages import cut
 
 READS, RUNS = fixture.sql(8), fixture.sql(8, True)
 HP = """
@@ -27,17 +29,17 @@ CUTOFF = 0.0625
 
 
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.column_mask(long(spark, sf_dir, runs=True), cutoff=CUTOFF)
+    return m.column_mask(fixture.aligned(spark, sf_dir, runs=True), cutoff=CUTOFF)
 
 
 @query("homopolymer_flags", f"WITH {RUNS}, {HP} SELECT sample_id, read_id, pos, hp FROM hp WHERE hp")
 def homopolymer_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.homopolymer_flags(long(spark, sf_dir, runs=True)).where("hp").select("sample_id", "read_id", "pos", "hp")
+    return m.homopolymer_flags(fixture.aligned(spark, sf_dir, runs=True))
 
 
 @query("homopolymer_columns", f"WITH {RUNS}, {HP} SELECT sample_id, pos, round(share, 6) AS share, share >= 0.33 AS anchor FROM cols")
 def homopolymer_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(m.homopolymer_columns(m.homopolymer_flags(long(spark, sf_dir, runs=True))), "share")
+    return r6(m.homopolymer_columns(fixture.aligned(spark, sf_dir, runs=True)), "share")
 
 
 def repeats_sql(unit: int, times: int) -> str:
@@ -55,9 +57,7 @@ def repeats_sql(unit: int, times: int) -> str:
 )
 def repeat_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns that a di- or trinucleotide repeat covers in some read, and in how many."""
-    b = long(spark, sf_dir, runs=True)
-    hit = m.repeat_flags(b, 2, 6).union(m.repeat_flags(b, 3, 6)).distinct()
-    return hit.groupBy("sample_id", "pos").agg(F.count(F.lit(1)).alias("n_reads"))
+    return m.repeat_columns(fixture.aligned(spark, sf_dir, runs=True), (2, 6), (3, 6))
 
 
 @query("gap_islands", f"WITH {RUNS}, {HP}, {MASK} SELECT sample_id, pos, anchor, round(gap_frac, 6) AS gap_frac, masked FROM mask")
@@ -71,7 +71,7 @@ def gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM bases JOIN mask USING (sample_id, pos) WHERE NOT masked GROUP BY ALL""",
 )
 def trimmed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.restring(m.trim(long(spark, sf_dir, runs=True), mask(spark, sf_dir)))
+    return m.trim(fixture.aligned(spark, sf_dir, runs=True), cut(mask(spark, sf_dir))).select("sample_id", "read_id", "aln_seq", "aln_qual")
 
 
 @query(
@@ -103,7 +103,7 @@ feats AS (SELECT *, greatest(0, delta) * ln(1 + n) * (1 - gap_frac) * greatest(1
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.column_stats(v.column_counts(long(spark, sf_dir)))
+    return v.column_stats(v.read_counts(fixture.aligned(spark, sf_dir)))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("col_counts", f"WITH {READS}, {COUNTS} SELECT * FROM counts")
 def col_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.column_counts(long(spark, sf_dir))
+    return v.read_counts(fixture.aligned(spark, sf_dir))
 
 
 @query("col_stats", f"WITH {READS}, {STATS} SELECT sample_id, pos, depth, round(gap_frac, 6) AS gap_frac, round(nonmajor, 6) AS nonmajor, major, round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3 FROM stats")
@@ -138,9 +138,9 @@ def quantile_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ambiguity_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per planted cluster, at a share of 0.04, which the noise of the derived reads straddles."""
-    b = long(spark, sf_dir).withColumnRenamed("truth", "cluster")
+    reads = fixture.aligned(spark, sf_dir).withColumnRenamed("truth", "cluster")
     keep = stats(spark, sf_dir).where("gap_frac <= 0.9 and depth > 0")
-    return v.ambiguity_sites(v.column_counts(b, "cluster"), keep, 5, v.Config(ambig_thr=0.04))
+    return v.ambiguity_sites(v.read_counts(reads, "cluster"), keep, 5, v.Config(ambig_thr=0.04))
 
 
 @query("background", f"WITH {READS}, {BG} SELECT sample_id, pos, round(nonmajor, 6) AS nonmajor, round(bg, 6) AS bg FROM bg")
@@ -171,7 +171,7 @@ def feature_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("read_features", f"WITH {READS}, {VARIANTS} SELECT sample_id, read_id, pos, base FROM bases SEMI JOIN variants USING (sample_id, pos, base)")
 def read_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.read_features(long(spark, sf_dir), v.rare_variants(stats(spark, sf_dir)))
+    return v.read_features(fixture.aligned(spark, sf_dir), cut(v.rare_variants(stats(spark, sf_dir))))
 
 
 CONTRAST = """
@@ -183,8 +183,7 @@ cs AS (SELECT sample_id, pos, max(0.5 * (abs(a / (a+c+g+t) - ra / (ra+rc+rg+rt))
 
 def contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = fixture.aligned(spark, sf_dir).withColumnRenamed("truth", "cluster")
-    b = long(spark, sf_dir).withColumnRenamed("truth", "cluster")
-    return v.contrast(v.column_counts(b, "cluster"), reads.groupBy("sample_id", "cluster").agg(F.count(F.lit(1)).alias("m")))
+    return v.contrast(v.read_counts(reads, "cluster"), reads.groupBy("sample_id", "cluster").agg(F.count(F.lit(1)).alias("m")))
 
 
 @query("contrast", f"WITH {READS}, {CONTRAST} SELECT sample_id, pos, round(score, 6) AS score FROM cs")
@@ -194,4 +193,5 @@ def contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("onehot", f"WITH {READS}, {CONTRAST} SELECT sample_id, read_id, concat(base, '_', pos - 1) AS feature, round(score * CASE WHEN base = '-' THEN 0.98 ELSE pow(1 - pow(10.0, -q / 10.0), 2) END, 6) AS value FROM bases JOIN cs USING (sample_id, pos)")
 def onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(v.one_hot(long(spark, sf_dir), contrasts(spark, sf_dir).withColumnRenamed("score", "weight")), "value")
+    weights = cut(contrasts(spark, sf_dir).withColumnRenamed("score", "weight"))
+    return r6(v.one_hot(cells_at(fixture.aligned(spark, sf_dir).drop("truth", "read_ord"), weights), weights), "value")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from strandlab.operators import consensus as c
 from strandlab.plans import columns, fixture
 from strandlab.plans.catalog import query
-from strandlab.plans.reads import long, r6
+from strandlab.plans.reads import r6
+from strandlab.stages import cut
 
 READS, RUNS = fixture.sql(8), fixture.sql(8, True)
 CODE = "CASE WHEN a + c + g + t = 0 THEN 'N' WHEN mask = 0 THEN CASE greatest(a, c, g, t) WHEN a THEN 'A' WHEN c THEN 'C' WHEN g THEN 'G' ELSE 'T' END ELSE substr('ACMGRSVTWYHKDBN', mask::INT, 1) END"
@@ -39,27 +40,26 @@ st AS (SELECT sample_id, cluster, seq, n_seq, imd, iad, mdc, len(regexp_replace(
 HEADER = "concat('CL', cluster, '_IMD', printf('%.2f', imd), '_MDC', printf('%.2f', mdc), '_NIUPAC', n_iupac, '_NSEQ', n_seq, '_LEN', len)"
 
 
-def clustered(spark: SparkSession, sf_dir: str, runs: bool = False) -> DataFrame:
-    """Long bases with the planted truth as cluster."""
-    return long(spark, sf_dir, runs=runs).withColumnRenamed("truth", "cluster")
-
-
 def reads_of(spark: SparkSession, sf_dir: str, runs: bool = False) -> DataFrame:
     return fixture.aligned(spark, sf_dir, runs=runs).withColumnRenamed("truth", "cluster")
 
 
+def called(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(c.consensus(reads_of(spark, sf_dir, True)))
+
+
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.divergence(reads_of(spark, sf_dir, True), c.consensus(clustered(spark, sf_dir, True)))
+    return c.divergence(reads_of(spark, sf_dir, True), called(spark, sf_dir))
 
 
 @query("iupac", f"WITH {READS}, {VOTES} SELECT sample_id, cluster, pos, code FROM cl")
 def iupac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.votes(clustered(spark, sf_dir)).select("sample_id", "cluster", "pos", c.column_call().alias("code"))
+    return c.votes(c.read_ballots(reads_of(spark, sf_dir))).select("sample_id", "cluster", "pos", c.column_call().alias("code"))
 
 
 @query("consensus", f"WITH {RUNS}, {CONS} SELECT sample_id, cluster, seq, n_seq FROM cons")
 def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.consensus(clustered(spark, sf_dir, True)).select("sample_id", "cluster", "seq", "n_seq")
+    return c.consensus(reads_of(spark, sf_dir, True)).select("sample_id", "cluster", "seq", "n_seq")
 
 
 @query("divergence", f"WITH {RUNS}, {DIV} SELECT sample_id, cluster, n_seq, round(imd, 6) AS imd, round(iad, 6) AS iad, round(mdc, 6) AS mdc, n_iupac, len FROM st")
@@ -88,7 +88,7 @@ mm AS (SELECT DISTINCT sample_id, pos::INT AS pos FROM (SELECT sample_id, pos FR
 
 @query("merge_mask", f"WITH {RUNS}, {CONS}, {MERGE_MASK} SELECT sample_id, pos FROM mm")
 def merge_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.merge_mask(c.consensus(clustered(spark, sf_dir, True)))
+    return c.merge_mask(called(spark, sf_dir))
 
 
 @query(
@@ -102,7 +102,7 @@ def merge_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def single_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At height 2: the planted clusters that differ in two columns join."""
-    cons = c.consensus(clustered(spark, sf_dir, True))
+    cons = called(spark, sf_dir)
     kept = c.trimmed(cons, c.merge_mask(cons)).cache()
     return c.single_linkage(kept, c.merge_distances(kept), 2)
 
@@ -112,7 +112,7 @@ def single_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM cons LEFT JOIN (SELECT sample_id, list(pos) AS drops FROM mm GROUP BY ALL) USING (sample_id))
     SELECT a.sample_id, a.cluster AS ord_i, b.cluster AS ord_j, {DIFF("a.kept", "b.kept")}::INT AS d FROM kp a JOIN kp b ON a.sample_id = b.sample_id AND a.cluster < b.cluster WHERE a.kept <> '' AND b.kept <> ''""")
 def merge_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cons = c.consensus(clustered(spark, sf_dir, True))
+    cons = called(spark, sf_dir)
     return c.merge_distances(c.trimmed(cons, c.merge_mask(cons)))
 
 

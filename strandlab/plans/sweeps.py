@@ -152,7 +152,7 @@ def ambiguity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of planted clusters: orders in process count as noise."""
     reads = fixture.aligned(spark, sf_dir, 8)
     label = F.when(F.col("truth") == "F", "1").when(F.col("truth") == "O", "2").otherwise("0")
-    return v.ambiguity_table(fixture.bases(reads), reads.select("sample_id", "read_id", label.alias("cluster")))
+    return v.ambiguity_table(reads, reads.select("sample_id", "read_id", label.alias("cluster")))
 
 
 @query(
