@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlab.operators.distances import PAIR, pairs
+from strandlab.operators.distances import PAIR, held, pairs, shared
 from strandlab.stages import cut
 
 DIGITS = 9
@@ -44,15 +44,12 @@ def pair_parts(reads: DataFrame, features: DataFrame, weights: DataFrame) -> Dat
     sums and one sum per sample.
     """
     n = reads.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
-    held = features.groupBy("sample_id", "feature").agg(F.count(F.lit(1)).alias("k"))
-    means = weights.join(held, ["sample_id", "feature"]).join(n, "sample_id").select("sample_id", "feature", "w", (F.col("k") / F.col("n")).alias("mean"))
+    having = features.groupBy("sample_id", "feature").agg(F.count(F.lit(1)).alias("k"))
+    means = weights.join(having, ["sample_id", "feature"]).join(n, "sample_id").select("sample_id", "feature", "w", (F.col("k") / F.col("n")).alias("mean"))
     square = means.groupBy("sample_id").agg(F.sum(F.col("w") * F.col("mean") * F.col("mean")).alias("mm"))
     rows = features.join(means, ["sample_id", "feature"])
-    sums = rows.groupBy("sample_id", "read_ord").agg(F.sum("w").alias("load"), F.sum(F.col("w") * F.col("mean")).alias("xm"))
-    sums = reads.select("sample_id", "read_ord").join(sums, ["sample_id", "read_ord"], "left").join(square, "sample_id", "left").fillna(0.0, ["load", "xm", "mm"])
-    side = lambda s: rows.select("sample_id", "feature", F.col("read_ord").alias(f"ord_{s}"), *([F.col("w")] if s == "i" else []))
-    inter = side("i").join(side("j"), ["sample_id", "feature"]).where("ord_i < ord_j").groupBy(*PAIR).agg(F.sum("w").alias("inter"))
-    out = pairs(sums, "read_ord", "load", "xm", "mm").join(inter, PAIR, "left").fillna(0.0, ["inter"])
+    sums = held(reads, rows, F.sum(F.col("x.w") * F.col("x.mean")).alias("xm")).join(square, "sample_id", "left").fillna(0.0, ["xm", "mm"])
+    out = pairs(sums, "read_ord", "load", "xm", "mm", "held").withColumn("inter", shared())
     norm = lambda s: F.col(f"load_{s}") - 2 * F.col(f"xm_{s}") + F.col(f"mm_{s}")
     dot = F.col("inter") - F.col("xm_i") - F.col("xm_j") + F.col("mm_i")
     union = F.col("load_i") + F.col("load_j") - F.col("inter")
